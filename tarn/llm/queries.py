@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, quality_rules, sharding, token_files
+from tarn.llm import ann, bpe, quality_rules, sharding, token_files
 from tarn.llm.common import table
 
 WORD_TOKENIZER, BYTE_TOKENIZER, END_ID = "word_bpe_49k.json", "byte_bpe_50k.json", 2
@@ -38,10 +38,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_json(BYTE_TOKENIZER))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op4_quality_rules": op4_quality_rules,
     "op7_sharding": op7_sharding,
     "op8_bpe": op8_bpe,
+    "op10_ann": op10_ann,
 }
 ORACLE_SQL: dict[str, str] = {}
