@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -55,6 +56,29 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
+def library_tokenizer(tokenizer_json: str):
+    """The tokenizers library's tokenizer, without truncation and padding, on the calling thread alone."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    os.environ.setdefault("RAYON_NUM_THREADS", "1")
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_str(tokenizer_json)
+    out.no_truncation()
+    out.no_padding()
+    return out
+
+
+_per_worker: dict = {}
+
+
+def once_a_worker(key: object, make: Callable[[], object]) -> object:
+    """make()'s result, kept for the later tasks of this Python worker; only the latest of each kind of key."""
+    kind = key[0]
+    if _per_worker.get(kind, (None,))[0] != key:
+        _per_worker[kind] = (key, make())
+    return _per_worker[kind][1]
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The column's texts as UTF-8; null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

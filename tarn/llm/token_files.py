@@ -6,6 +6,7 @@ a hash of their text. An empty table writes no segment and reads back as no docu
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -16,46 +17,78 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.llm import dac
-from tarn.llm.common import shared_dir, small_batches, utf8
+from tarn.llm.common import library_tokenizer, once_a_worker, shared_dir, small_batches, utf8
 
 #: Tokens after which a segment ends, at the next document; a longer document is a segment of its own.
 SEGMENT_TOKENS = 1 << 20
-#: Words whose ids a worker remembers.
-CACHED_WORDS = 400_000
+#: Pieces whose ids a worker remembers.
+CACHED_WORDS = 500_000
+
+
+#: Pieces of lower-case ASCII and Latin text: runs of letters, contractions, digits, runs of punctuation. Those of
+#: U+00C0 to U+023F are all letters but two, which UNUSUAL has, with all other characters and starts of added tokens.
+_PIECE = re.compile(rb"(?:[a-z]+|(?:\xc3[\x80-\xbf]|[\xc4-\xc8][\x80-\xbf])+)+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\sa-z0-9\x80-\xff]+")
+_UNUSUAL = re.compile(rb"[\xc2\xc9-\xff]|\xc3[\x97\xb7]|<\|")
 
 
 class WordEncoder:
-    """Encodes texts word by word with the tokenizers library, and remembers the words.
+    """Encodes texts piece by piece with the tokenizers library, and remembers the pieces.
 
-    Right only for tokenizers in which white space ends every token and no rule looks past it; the constructor checks
-    what it can: no prefix space, and no added token that takes white space with it.
+    For tokenizers whose pattern cuts at white space, around runs of letters, at each digit and around contractions,
+    and whose pieces end in an end-of-word token; the constructor probes for that. Many pieces are encoded as one text
+    and told apart by their end-of-word tokens. Texts with unusual characters are cut at white space only.
     """
 
     def __init__(self, tokenizer_json: str, most: int = CACHED_WORDS):
-        from tokenizers import Tokenizer
-
-        self.library, self.known, self.most = Tokenizer.from_str(tokenizer_json), {}, most
-        self.library.no_truncation()
-        self.library.no_padding()
-        if any(t.lstrip or t.rstrip or t.single_word for t in self.library.get_added_tokens_decoder().values()):
-            raise ValueError("an added token takes white space with it")
-        probe = ["a", "b", "ab", "A!", "x1"]
-        joined = self.library.encode(" \n".join(probe), add_special_tokens=False).ids
-        if joined != [i for w in probe for i in self.library.encode(w, add_special_tokens=False).ids]:
-            raise ValueError("words are not independent of each other")
+        self.library, self.known, self.most = library_tokenizer(tokenizer_json), {}, most
+        added = self.library.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or not t.content.startswith("<|") for t in added.values()):
+            raise ValueError("an added token takes white space with it, or starts in another way")
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        probe = b"Ab it's 12 x,y (a-b) I'LL q!"
+        pieces = self._pieces(probe)
+        if self._together(pieces) is None or [i for p in pieces for i in self._alone([p])[0]] != self.library.encode(probe.decode(), add_special_tokens=False).ids:
+            raise ValueError("the pieces of this tokenizer are other ones")
+
+    @staticmethod
+    def _pieces(text: bytes) -> list[bytes]:
+        # both bytes.split() and bytes.lower() know ASCII alone
+        return text.split() if _UNUSUAL.search(text) else _PIECE.findall(text.lower())
+
+    def _alone(self, pieces: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+
+    def _together(self, pieces: list[bytes]) -> list[bytes] | None:
+        """Each piece's ids as bytes, from one encoding of them all; None if its pieces are not these."""
+        ids = np.array(self.library.encode_batch_fast([b" ".join(pieces).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(pieces):
+            return None
+        data, at = ids.tobytes(), [0, *(ends * 4).tolist()]
+        return [data[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        plain = [p for p in pieces if not _UNUSUAL.search(p) and _PIECE.fullmatch(p)]
+        for at in range(0, len(plain), 2048):
+            some = plain[at : at + 2048]
+            found = self._together(some)
+            self.known.update(zip(some, found if found is not None else [np.array(i, np.uint32).tobytes() for i in self._alone(some)], strict=True))
+        other = [p for p in pieces if p not in self.known]
+        for at in range(0, len(other), 2048):
+            some = other[at : at + 2048]
+            self.known.update(zip(some, [np.array(i, np.uint32).tobytes() for i in self._alone(some)], strict=True))
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]  # bytes split at ASCII white space alone
-        new = list({w for words in split for w in words if w not in self.known})
+        split = [self._pieces(t) for t in texts]
+        new = set().union(*split) - self.known.keys()
         if len(self.known) + len(new) > self.most:
             self.known.clear()
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 8192):
-            some = new[at : at + 8192]
-            for w, e in zip(some, self.library.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.uint32).tobytes()
+            new = set().union(*split)
+        self._learn(list(new))
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), np.uint32) for words in split]
+        return [np.frombuffer(b"".join(map(get, pieces)), np.uint32) for pieces in split]
 
 
 def write_tokens(docs: DataFrame, tokenizer_json: str, end_id: int, path: str, segment_tokens: int = SEGMENT_TOKENS) -> None:
@@ -69,7 +102,8 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, end_id: int, path: str, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, shard, number = WordEncoder(text.value), TaskContext.get().partitionId(), 0
+        encoder = once_a_worker(("word encoder", text.value), lambda: WordEncoder(text.value))
+        shard, number = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         held: list[int | None] = []
         counts: list[int] = []
