@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import ann, bpe, minhash, pii, quality_rules, sharding, token_files
+from tarn.llm import ann, bpe, minhash, mixing, pii, quality_model, quality_rules, sharding, token_files, toxicity
 from tarn.llm.common import table
 
 WORD_TOKENIZER, BYTE_TOKENIZER, END_ID = "word_bpe_49k.json", "byte_bpe_50k.json", 2
@@ -21,6 +21,11 @@ def tokenizer_json(name: str) -> str:
         return f.read()
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mixed(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("_probability", 6).alias("probability"), F.col("_drawn").alias("drawn"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(table(spark, sf_dir, "documents"), tokenizer_json(WORD_TOKENIZER), END_ID)
 
@@ -37,6 +42,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("position").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
@@ -46,17 +55,25 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_json(BYTE_TOKENIZER))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_token_files": op2_token_files,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
+    "op6_quality_model": op6_quality_model,
     "op7_sharding": op7_sharding,
     "op8_bpe": op8_bpe,
+    "op9_toxicity": op9_toxicity,
     "op10_ann": op10_ann,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.oracle()}
