@@ -1,7 +1,8 @@
 """Toxicity by a classifier chain: categories in sequence, each model fed the earlier categories' probabilities.
 
-Features are single words (A-Z in lower case, punctuation off). Each word's counts per label come from all labelled
-rows, summed before the shuffle; the TERMS words with the largest signed G2 statistics for some label are kept. The
+Features are single words (A-Z in lower case, punctuation off) and the first five bytes of longer ones. Each word's counts per label come from all labelled
+rows, summed before the shuffle; the TERMS words with the largest signed G2 statistics for some label, MIN_G2 at least
+(what chance or a few copies make doesn't count), are kept. The
 chain's links are L2-regularised logistic models over the presence of those words and the earlier links' outputs. The
 earlier outputs that a link is trained on are out-of-fold predictions, so it learns to trust them as far as they go.
 The chain is fitted on at most TRAINING_ROWS labelled rows of smallest hash; its thresholds maximise F1 out of fold.
@@ -14,6 +15,7 @@ row of some label its probability is a constant and nobody is flagged.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,17 +27,21 @@ from tarn.llm import wordhash
 from tarn.llm.boosting import sigmoid
 from tarn.llm.common import map_batches, steps, utf8, written
 
-TERMS, MIN_ROWS, TRAINING_ROWS, FOLDS, RIDGE = 1500, 4, 20_000, 4, 1e-4
+TERMS, MIN_ROWS, MIN_G2, TRAINING_ROWS, FOLDS, RIDGE = 1500, 4, 10.8, 20_000, 4, 1e-4
 LABELS = ("junk", "toxic")
 _CLEAN = bytes((c + 32 if 65 <= c <= 90 else 32 if c < 128 and not (48 <= c <= 57 or 97 <= c <= 122) else c) for c in range(256))
+#: A word's beginning: what inflected forms share; the mark keeps it apart from the word itself.
+_START = re.compile(rb"(\S{5})\S+")
 
 
 def doc_terms(texts: list[bytes]) -> list[np.ndarray]:
-    """Each text's distinct words as sorted hashes."""
+    """Each text's distinct words and beginnings of longer words, as sorted hashes."""
     out = []
     for begin, end in steps(texts, 1 << 20):
-        hashes, first = wordhash.words([t.translate(_CLEAN) for t in texts[begin:end]])
-        out += [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]
+        plain = [t.translate(_CLEAN) for t in texts[begin:end]]
+        hashes, first = wordhash.words(plain)
+        starts, _ = wordhash.words([_START.sub(rb"\1\x00", t) for t in plain])
+        out += [np.unique(np.concatenate((hashes[a:b], starts[a:b]))).view(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]
     return out
 
 
@@ -100,7 +106,7 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     at = int(f1.argmax())
     after = p[order][at + 1] if at + 1 < len(y) else 0.0
-    return float((p[order][at] + after) / 2)
+    return float(np.clip((p[order][at] + after) / 2, 0.1, 0.9))
 
 
 def fitted(vocabulary: np.ndarray, toxic_terms: set[int], terms: list[np.ndarray], labels: dict[str, np.ndarray], folds: np.ndarray) -> Chain:
@@ -143,7 +149,7 @@ def selected_terms(labelled: DataFrame) -> DataFrame:
         with_it, total, n, rows = F.col(k), F.col(f"all_{k}"), F.col("n"), F.col("rows")
         part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
         g2 = 2 * (part(with_it, n * total / rows) + part(n - with_it, n * (rows - total) / rows))
-        own = counts.where(with_it * rows > n * total).select("term", F.lit(k).alias("label"), g2.alias("g2"), (with_it / n).alias("share")).orderBy(F.desc("g2"), "term").limit(TERMS)
+        own = counts.where(with_it * rows > n * total).select("term", F.lit(k).alias("label"), g2.alias("g2"), (with_it / n).alias("share")).where(F.col("g2") >= MIN_G2).orderBy(F.desc("g2"), "term").limit(TERMS)
         chosen = own if chosen is None else chosen.unionByName(own)
     return chosen
 
@@ -153,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Chain:
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id").select("doc_id", "text", *LABELS)
     chosen = selected_terms(labelled).collect()  # TERMS rows a label at most
     vocabulary = np.unique(np.array([r["term"] for r in chosen], np.int64))
-    toxic_terms = {r["term"] for r in chosen if r["label"] == "toxic" and r["share"] >= 0.5 and r["g2"] >= 20}
+    toxic_terms = {r["term"] for r in chosen if r["label"] == "toxic" and r["share"] >= 0.5}
     sample = known.withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(TRAINING_ROWS).select("doc_id", *LABELS)
     probe = Chain(vocabulary)
 
