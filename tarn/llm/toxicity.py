@@ -40,7 +40,7 @@ def doc_terms(texts: list[bytes]) -> list[np.ndarray]:
     for begin, end in steps(texts, 1 << 20):
         plain = [t.translate(_CLEAN) for t in texts[begin:end]]
         hashes, first = wordhash.words(plain)
-        starts, _ = wordhash.words([_START.sub(rb"\1\x00", t) for t in plain])
+        starts, _ = wordhash.words([_START.sub(rb"\1" + b"_", t) for t in plain])
         out += [np.unique(np.concatenate((hashes[a:b], starts[a:b]))).view(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]
     return out
 
