@@ -6,7 +6,6 @@ Every stage works on all rows that its predecessor kept and, but for the last, r
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tarn.llm import bpe, minhash, mixing, pii, quality_rules
 from tarn.llm.common import table, written
@@ -20,11 +19,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, similarity 0.8) the document of smallest doc_id stays."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = written(kept, "kept")
-    first = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
-    # repeated rows of one doc_id are one document
-    return first.where("doc_id is null").unionByName(first.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    kept = written(minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
+    # repeated rows of one doc_id are one document; rows without one are nobody's copies
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
