@@ -27,7 +27,7 @@ from tarn.llm import wordhash
 from tarn.llm.boosting import sigmoid
 from tarn.llm.common import map_batches, steps, utf8, written
 
-TERMS, MIN_ROWS, MIN_G2, TRAINING_ROWS, FOLDS, RIDGE = 1500, 4, 10.8, 20_000, 4, 1e-4
+TERMS, MIN_ROWS, MIN_G2, TRAINING_ROWS, FOLDS, RIDGE = 1500, 3, 10.8, 20_000, 4, 1e-4
 LABELS = ("junk", "toxic")
 _CLEAN = bytes((c + 32 if 65 <= c <= 90 else 32 if c < 128 and not (48 <= c <= 57 or 97 <= c <= 122) else c) for c in range(256))
 #: A word's beginning: what inflected forms share; the mark keeps it apart from the word itself.
