@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch brings to a Python worker; with documents of some kB a batch stays at a few MB.
 BATCH_ROWS = 512
@@ -37,6 +38,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sampled(df: DataFrame, key: str, about: int) -> DataFrame:
+    """About so many rows, those whose hash of key is smallest; all of them where there are no more."""
+    n = df.count()
+    if n <= about:
+        return df
+    return df.where(F.xxhash64(key) < F.lit(about * (1 << 64) // n - (1 << 63))).limit(2 * about)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds the Arrow batches of plans made from here on; a smaller setting of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

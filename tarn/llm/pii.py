@@ -5,7 +5,7 @@ propose overlapping candidate spans; one ensemble of boosted trees a kind scores
 calibration turns margins into probabilities, and a threshold with MIN_PRECISION on held-out candidates selects. Added
 spans overlap no base span and no better added one.
 
-Nobody labels candidates here, so the trees learn from base spans of at most SAMPLE_DOCS documents in disguise (plus
+Nobody labels candidates here, so the trees learn from base spans of about SAMPLE_DOCS documents (twice that at most) in disguise (plus
 signs and separators dropped or changed, '@' and '.' spelled out) against the candidates that no base pattern took and
 corrupted numbers. Where the sample has too few base spans of a kind, that kind gets no added spans.
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.boosting import BoostedTrees, platt, sigmoid
-from tarn.llm.common import map_batches
+from tarn.llm.common import map_batches, sampled
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, SAMPLE_BYTES, MIN_TRAINING, MIN_PRECISION = 2000, 32768, 20, 0.995
@@ -196,9 +196,9 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def fitted(docs: DataFrame) -> dict[str, Model]:
-    """Trained on the SAMPLE_DOCS documents of smallest hash with a digit or '@' and at most SAMPLE_BYTES bytes."""
-    sample = docs.select("text", F.xxhash64("doc_id", "text").alias("o")).where(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= SAMPLE_BYTES)).orderBy("o", "text").limit(SAMPLE_DOCS)
-    return trained([r["text"] for r in sample.select("text").collect()])
+    """Trained on about SAMPLE_DOCS documents of smallest hash with a digit or '@' and at most SAMPLE_BYTES bytes."""
+    fit_for = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= SAMPLE_BYTES))
+    return trained(sorted(r["text"] for r in sampled(fit_for, "doc_id", SAMPLE_DOCS).collect()))
 
 
 def spans(docs: DataFrame, models: dict[str, Model] | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 Each class has a mean and a covariance that is shrunk toward the pooled one and a multiple of the identity. A score is
 the difference of the classes' log densities, each from the Mahalanobis distance under a cached Cholesky factor, put
 through a Platt calibration. Means and covariances are sums over all labelled training rows, made before the shuffle;
-shrinkage and calibration are chosen on at most CALIBRATION_ROWS training rows of smallest hash.
+shrinkage and calibration are chosen on about CALIBRATION_ROWS training rows (twice that at most) of smallest hash.
 
 Null and empty texts have statistics too, and so a score. Labels that are null or of unknown documents don't count; a
 document labelled twice counts twice. With a class unseen, every score is the share of label 1 (0.5 without labels).
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm import wordhash
 from tarn.llm.boosting import platt, sigmoid
-from tarn.llm.common import map_batches, steps, utf8, written
+from tarn.llm.common import map_batches, sampled, steps, utf8, written
 from tarn.llm.quality_rules import Compressor, repeated_lines, repeated_words
 
 CALIBRATION_ROWS, SHRINKAGES, IDENTITY, THRESHOLD = 20_000, (0.02, 0.1, 0.3, 0.6), 0.02, 0.3
@@ -114,7 +114,7 @@ def fitted(labelled: DataFrame) -> Discriminant:
         for k, (i, j) in enumerate(upper):
             q[i, j] = q[j, i] = sums[y, _D + k]
         second.append(q)
-    rows = labelled.withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(CALIBRATION_ROWS).select("x", "y").collect()
+    rows = sampled(labelled, "doc_id", CALIBRATION_ROWS).select("x", "y").collect()
     x, y = np.array([r["x"] for r in rows], float), np.array([r["y"] for r in rows], float)
     best, least = None, np.inf
     for shrinkage in SHRINKAGES:
