@@ -8,7 +8,8 @@ A bucket gives star edges only: its center, which differs from band to band by a
 are confirmed on the full sets and make components. What a star can miss is a link between two members of a bucket
 that lie in different components then; such pairs of a member outside the bucket's largest component with the others
 are compared as well: pair by pair where the bucket has few, else in blocks of BLOCK by BLOCK sets, which emit links
-alone. So all pairs of a bucket that could change a component are compared, however large it is.
+alone; the large buckets around one component share their blocks. So all pairs of a bucket that could change a
+component are compared, however large it is.
 
 A document's set: its distinct shingles of `width` words (runs of other than \\x20 and \\x09-\\x0D, A-Z in lower case); of
 fewer words, the whole sequence; of none, the empty set, linked with nothing. A null doc_id or text: empty set, its own
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm import wordhash
 from tarn.llm.common import map_batches, small_batches, steps, utf8, written
-from tarn.llm.components import components
+from tarn.operators.components import components
 
 WIDTH, PERCENT, BANDS, ROWS = 5, 80, 24, 6
 #: Sets that a task compares at once, and pairs of a bucket beyond which it goes in blocks.
@@ -169,13 +170,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     right = few.select("bucket", F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("component").alias("y_component"))
     more = left.join(right, "bucket").where((F.col("x_component") != F.col("y_component")) & _near(("x_size", "y_size"), percent))
     more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    sides = [F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n", "outsiders")]
-    many = many.withColumn("outsiders", F.col("n") - F.col("most"))
-    block = lambda parts, salt: F.pmod(F.xxhash64("node", F.lit(salt)), parts).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
-    own = many.where("outside").withColumn("i", block(sides[1], 1)).withColumn("j", every(sides[0])).withColumn("side", F.lit(0))
-    others = many.withColumn("j", block(sides[0], 2)).withColumn("i", every(sides[1])).withColumn("side", F.lit(1))
-    blocks = own.unionByName(others).select(F.xxhash64("bucket", "i", "j").alias("task"), "side", "node")
+    # Buckets around one component are one piece of work, so that no pair is compared band after band.
+    gathered = many.groupBy("main", "node").agg(F.max("outside").alias("outside"))
+    sizes = gathered.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.ceil(F.count_if("outside") / BLOCK).cast("int").alias("outside_parts"))
+    gathered = written(gathered.join(sizes, "main"), "gathered")
+    block = lambda parts, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    own = gathered.where("outside").withColumn("i", block("outside_parts", 1)).withColumn("j", every("parts")).withColumn("side", F.lit(0))
+    others = gathered.withColumn("j", block("parts", 2)).withColumn("i", every("outside_parts")).withColumn("side", F.lit(1))
+    blocks = own.unionByName(others).select(F.xxhash64("main", "i", "j").alias("task"), "side", "node")
     late = _compared(_pair_tasks(more).unionByName(blocks), texts, width, percent)
     late = written(late.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "late_links")
     if not late.isEmpty():
