@@ -38,7 +38,7 @@ def geocoded(rows: DataFrame, places: DataFrame, states: dict[str, str], key: st
     code = F.regexp_extract(loc, r"\b([A-Z]{2})\b", 1)
     candidate = lambda c, zoom: F.array(F.struct(F.trim(c).alias("place"), F.lit(zoom).alias("zoom") if isinstance(zoom, str) else zoom.alias("zoom")))
     wide_if_vague = F.when(is_vague(loc), "wide").otherwise("narrow")
-    parts = F.transform(F.split(loc, r"[/|]|, | & "), lambda p: F.struct(F.trim(normal_state(F.trim(p), states)).alias("place"), F.lit("wide").alias("zoom")))
+    parts = F.transform(F.split(loc, r"[/|]| and | & "), lambda p: F.struct(F.trim(normal_state(F.trim(p), states)).alias("place"), F.lit("wide").alias("zoom")))
     inner, outer = F.regexp_extract(loc, r"\(([^)]*)\)", 1), F.regexp_replace(loc, r"\s*\([^)]*\)", "")
     listed = F.concat(candidate(fixed, wide_if_vague), candidate(loc, wide_if_vague), candidate(inner, "narrow"), candidate(outer, "narrow"), parts, candidate(city, "narrow"), candidate(F.regexp_extract(city, r"([A-Z]{2})$", 1), "wide"), candidate(named, "wide"), candidate(code, "wide"))
     asked = rows.where("location is not null").select(key, F.posexplode(listed).alias("ord", "c")).select(key, "ord", "c.place", "c.zoom").where("place != ''")

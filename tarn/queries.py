@@ -20,7 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 AS_OF = "2025-02-03"
 # what the synthetic prose has words for
-TEST_PATTERNS = (("M&A", r"\bthe\b.*\bof\b"), ("Regulatory", r"\bdes?\b"), ("Technology", r"\bder\b|\bdie\b"), ("ESG", r"\bque\b"), ("Restaurant", r"\bwith\b"))
+TEST_PATTERNS = (("M&A", r"\bof\b"), ("Regulatory", r"\bdes?\b"), ("Technology", r"\b(der|die)\b"), ("ESG", r"\bque\b"), ("Restaurant", r"\bwith\b"))
 TEST_PACK = packs.FacilityPack(brands=("brand#1",), brand_codes=("ECONOMY",), treatment_works=("part_1 ",), municipal_starts=("part_2",), municipal_parts=("9",), negative=("3", "4"), positive=("5",), rendering="6", meat="7", renderer_brands="8")
 
 
@@ -97,7 +97,14 @@ def company_sql(c: str) -> str:
     return f"array_to_string(list_filter(string_split(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]', ' ', 'g'), ' '), lambda w: w <> '' AND w NOT IN ({quoted(text.COMPANY_FORMS + ('the',) + text.INDUSTRY_GENERICS)})), ' ')"
 
 
-NOUNS_SQL = rf"list_filter(regexp_extract_all(headline, '\b([A-Z][A-Za-z0-9&]+)\b', 1), lambda w: length(w) >= 3 AND w NOT IN ({quoted(text.PROPER_NOUN_JUNK)}))"
+# a boundary of DuckDB's patterns knows ASCII alone, so words are cut by Unicode classes first
+NOUNS_SQL = rf"list_filter(list_transform(regexp_extract_all(headline, '[\p{{L}}\p{{N}}_&]+'), lambda w: trim(w, '&')), lambda w: length(w) >= 3 AND regexp_full_match(w, '[A-Z][A-Za-z0-9&]+') AND w NOT IN ({quoted(text.PROPER_NOUN_JUNK)}))"
+
+
+def bounded_sql(pattern: str) -> str:
+    """The pattern with its boundaries spelled out by Unicode classes."""
+    edge = r"[^\p{L}\p{N}_]"
+    return pattern.replace(r"\b", f"(^|{edge})", 1).replace(r"\b", f"({edge}|$)", 1)
 
 
 # news ---------------------------------------------------------------------------------------------------------------
@@ -133,7 +140,7 @@ def url_homepage(spark, d):
     return t(spark, d, "pages").select("page_id", text.is_front_page("url").alias("front"))
 
 
-LABELS_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(headline, '(?i){p}') THEN '{c}' END" for c, p in TEST_PATTERNS) + "], lambda x: x IS NOT NULL)"
+LABELS_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(headline, '(?i){bounded_sql(p)}') THEN '{c}' END" for c, p in TEST_PATTERNS) + "], lambda x: x IS NOT NULL)"
 
 
 @query("news_classify_multi", f"SELECT id, CASE WHEN len(l) > 0 THEN array_to_string(l, '|') ELSE 'Industry Events' END AS categories, greatest(len(l), 1)::BIGINT AS n FROM (SELECT id, {LABELS_SQL} AS l FROM ({NEWS_SQL}))")
@@ -219,17 +226,17 @@ def news_coerce(spark, d):
     return ingest.coerced_news(raw, F.lit("2025-01-30").cast("date"), TEST_PATTERNS).select("id", "date", F.col("headline").alias("raw_headline"), "relevance_score")
 
 
-@query("news_archive_new", "SELECT doc_id AS id FROM documents LIMIT 0")
+@query("news_archive_new", f"WITH k AS (SELECT id, array_to_string({tokens_sql('headline')}, ' ') AS h FROM ({NEWS_SQL})) SELECT id FROM k WHERE h NOT IN (SELECT h FROM k WHERE id % 2 = 0)")
 def news_archive_new(spark, d):
     news = v_news(spark, d).select("id", "headline")
-    return ingest.new_to(news, news).select("id")
+    return ingest.new_to(news.where("id % 2 = 0"), news).select("id")
 
 
 # deals --------------------------------------------------------------------------------------------------------------
 @query("deal_view", f"SELECT id, target, acquirer, date FROM ({DEAL_SQL}) WHERE date[1:4] = '1997' AND contains(lower(target || ' ' || acquirer), 'building') ORDER BY date DESC, id")
 def deal_view(spark, d):
     deals = v_deal(spark, d).withColumns({c: F.lit("") for c in ("sponsor", "location", "services", "notes")})
-    return views.deals_view(deals, year="1997" if False else "", term="building").where(F.substring("date", 1, 4) == "1997").select("id", "target", "acquirer", "date")
+    return views.deals_view(deals, year="1997", term="building").select("id", "target", "acquirer", "date")
 
 
 @query("deal_csv_cells", f"SELECT id, CASE WHEN regexp_matches(c, '[\"\\n,]') THEN '\"' || replace(c, '\"', '\"\"') || '\"' ELSE c END AS cell FROM (SELECT id, target || ', ' || acquirer || ' \"' || deal_type || '\"' AS c FROM ({DEAL_SQL}))")
@@ -248,9 +255,10 @@ def deal_year_options(spark, d):
     return v_deal(spark, d).select(F.substring("date", 1, 4).cast("int").alias("year")).where("year >= 1997").distinct()
 
 
-@query("deal_platform", f"SELECT id, CASE WHEN contains(lower(acquirer), 'build') THEN 'Other' ELSE 'Other' END AS platform FROM ({DEAL_SQL})")
+@query("deal_platform", f"SELECT id, CASE WHEN acquirer = 'BUILDING' THEN 'Darling' WHEN acquirer = 'MACHINERY' THEN 'LES' ELSE 'Other' END AS platform FROM ({DEAL_SQL})")
 def deal_platform(spark, d):
-    return v_deal(spark, d).select("id", views.platform(F.col("acquirer"), F.lit("")).alias("platform"))
+    buyer = F.when(F.col("acquirer") == "BUILDING", "Darling Ingredients").when(F.col("acquirer") == "MACHINERY", "LES Group").otherwise("Lester Pumping")
+    return v_deal(spark, d).select("id", views.platform(buyer, F.lit("")).alias("platform"))
 
 
 @query("deal_exact_dups", f"SELECT target_key, acquirer_key, n FROM (SELECT {company_sql('target')} AS target_key, {company_sql('acquirer')} AS acquirer_key, count(*) AS n FROM ({DEAL_SQL}) GROUP BY 1, 2) WHERE n > 1")
@@ -285,7 +293,7 @@ def _doc_deals(spark, d):
     return t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") * 7 % 400).cast("int")).alias("date"), F.split_part(h, F.lit(" "), F.lit(1)).alias("target"), F.split_part(h, F.lit(" "), F.lit(2)).alias("acquirer"), F.lit("Asset sale").alias("deal_type"), F.lit("").alias("sponsor"), F.lit("").alias("location"), F.lit("N/A").alias("deal_size"), F.lit(None).cast("string").alias("notes"), F.array().cast("array<string>").alias("deal_summary"))
 
 
-HAS_SQL = COVER_SQL + ", c AS (SELECT d.id FROM d WHERE t = '' OR a = '' UNION SELECT x.id FROM (SELECT d.id, n.id AS nid FROM d JOIN n ON n.w = d.t AND abs(date_diff('day', dd, nd)) <= 30 WHERE t <> '' AND a <> '') x JOIN (SELECT d.id, n.id AS nid FROM d JOIN n ON n.w = d.a AND abs(date_diff('day', dd, nd)) <= 30 WHERE t <> '' AND a <> '') y ON x.id = y.id AND x.nid = y.nid)"
+HAS_SQL = COVER_SQL + ", c AS (SELECT d.id FROM d WHERE t = '' OR a = '' UNION SELECT x.id FROM (SELECT d.id, n.id AS nid FROM d JOIN n ON list_contains(string_split(d.t, ' '), n.w) AND abs(date_diff('day', dd, nd)) <= 30 WHERE t <> '' AND a <> '') x JOIN (SELECT d.id, n.id AS nid FROM d JOIN n ON list_contains(string_split(d.a, ' '), n.w) AND abs(date_diff('day', dd, nd)) <= 30 WHERE t <> '' AND a <> '') y ON x.id = y.id AND x.nid = y.nid)"
 
 
 def _covered(spark, d):
@@ -459,9 +467,9 @@ def screener_scores(spark, d):
     return views.screener(v_city(spark, d), packs.WEIGHTS["collections"]).select("id", "score", "tier")
 
 
-@query("screener_rank", f"SELECT id, rank FROM (SELECT *, row_number() OVER (ORDER BY s DESC, id)::INT AS rank FROM (SELECT *, {SCORE_SQL} AS s FROM ({CITY_SQL}))) WHERE region = 'ASIA' AND s >= 2.5")
+@query("screener_rank", f"SELECT id, rank FROM (SELECT *, row_number() OVER (ORDER BY s DESC, id)::INT AS rank FROM (SELECT *, {SCORE_SQL} AS s FROM ({CITY_SQL}))) WHERE region = 'ASIA' AND s >= 2.0")
 def screener_rank(spark, d):
-    return views.screener(v_city(spark, d), packs.WEIGHTS["collections"], region="ASIA", least=2.5).select("id", "rank")
+    return views.screener(v_city(spark, d), packs.WEIGHTS["collections"], region="ASIA", least=2.0).select("id", "rank")
 
 
 @query("screener_tier2", f"SELECT id, name FROM (SELECT *, {SCORE_SQL} AS s FROM ({CITY_SQL})) WHERE status = 'Clear' AND s >= 3.0")

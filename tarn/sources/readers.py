@@ -7,7 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -69,7 +69,10 @@ def _largest(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def largest_json_array(texts: pd.Series) -> pd.Series:
-    """The longest balanced [...] that parses to a list; brackets inside strings count like others."""
+def _all_largest(texts: pd.Series) -> pd.Series:
     return texts.map(_largest)
+
+
+def largest_json_array(texts: Column) -> Column:
+    """The longest balanced [...] that parses to a list; brackets inside strings count like others."""
+    return F.pandas_udf(_all_largest, StringType())(texts)
