@@ -82,11 +82,11 @@ class WordEncoder:
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [self._pieces(t) for t in texts]
-        new = set().union(*split) - self.known.keys()
+        new = [p for p in set().union(*split) if p not in self.known]
         if len(self.known) + len(new) > self.most:
             self.known.clear()
-            new = set().union(*split)
-        self._learn(list(new))
+            new = list(set().union(*split))
+        self._learn(new)
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, pieces)), np.uint32) for pieces in split]
 
