@@ -98,11 +98,11 @@ class ForcedBoundaryBpe:
     def pieces(self, texts: list[str]) -> list[list[tuple[bytes, str]]]:
         """For each text its fragments' ids, as 32-bit numbers and as text."""
         split = [self.fragments(t) for t in texts]
-        new = set().union(*split) - self.known.keys()
+        new = [f for f in set().union(*split) if f not in self.known]
         if len(self.known) + len(new) > self.most:
             self.known.clear()
-            new = set().union(*split)
-        self._learn(list(new))
+            new = list(set().union(*split))
+        self._learn(new)
         get = self.known.__getitem__
         return [list(map(get, fs)) for fs in split]
 
