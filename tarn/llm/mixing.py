@@ -23,13 +23,12 @@ from pyspark.sql import functions as F
 from tarn.llm.common import written
 
 SWEEPS, TEMPER, RATE, SEED, BROADCAST_CELLS = 12, 0.7, 0.8, "mix-1", 50_000
-_WORDS = r"[\t-\r ]+"
 
 
 def tokens(text: str = "text") -> Column:
     """Runs of characters between white space, 1 at least."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\t-\r ]+|[\t-\r ]+$", "")
-    return F.greatest(F.size(F.split(trimmed, _WORDS)), F.lit(1)).cast("long")
+    blank = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
+    return F.greatest(F.size(F.array_remove(F.split(blank, " "), "")), F.lit(1)).cast("long")
 
 
 def topic(text: str = "text") -> Column:
@@ -82,18 +81,24 @@ def calibrated(cells: DataFrame, dims: tuple[str, ...], rate: float) -> DataFram
     return out.withColumn("probability", F.round(F.least(F.lit(1.0), F.coalesce(F.col("lam") * F.col("ratio"), F.lit(1.0))), 9)).select(*dims, "n", "raked", "probability")
 
 
-def mixed(docs: DataFrame, temper: float = TEMPER, rate: float = RATE, seed: str = SEED, sweeps: int = SWEEPS) -> DataFrame:
-    """docs with _source, _lang, _topic, _tokens, _weight (raked tokens of the document), _probability, _drawn."""
+def mixed(docs: DataFrame, columns: list[str] | None = None, temper: float = TEMPER, rate: float = RATE, seed: str = SEED, sweeps: int = SWEEPS) -> DataFrame:
+    """docs with _source, _lang, _topic, _tokens, _weight (raked tokens of the document), _probability, _drawn.
+
+    Where `columns` are only some of docs' and the text isn't one of them, texts are gone through once, not twice.
+    """
+    columns = docs.columns if columns is None else columns
     dims = ("_source", "_lang", "_topic")
     missing = "\x00"
     keys = docs.withColumns({"_source": F.coalesce("source", F.lit(missing)), "_lang": F.coalesce("lang", F.lit(missing)), "_topic": topic(), "_tokens": tokens()})
+    if "text" not in columns:
+        keys = written(keys.select("doc_id", *[c for c in columns if c != "doc_id"], *dims, "_tokens"), "keys")
     cells = written(keys.groupBy(*dims).agg(F.sum("_tokens").alias("n")), "cells")
     few = cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
     fit = written(calibrated(written(raked(cells, dims, temper, sweeps), "raked"), dims, rate), "probabilities")
     out = keys.join(F.broadcast(fit) if few else fit, list(dims))
     out = out.withColumns({"_weight": F.col("_tokens") * F.col("raked") / F.col("n"), "_drawn": uniform(seed, "doc_id") < F.col("probability"), "_probability": F.col("probability")})
     out = out.withColumns({d: F.when(F.col(d) != missing, F.col(d)) for d in ("_source", "_lang")})
-    return out.select(*docs.columns, *dims, "_tokens", "_weight", "_probability", "_drawn")
+    return out.select(*columns, *dims, "_tokens", "_weight", "_probability", "_drawn")
 
 
 def drawn_documents(docs: DataFrame, **settings) -> DataFrame:

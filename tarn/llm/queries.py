@@ -22,7 +22,7 @@ def tokenizer_json(name: str) -> str:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mixed(table(spark, sf_dir, "documents"))
+    out = mixing.mixed(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang"])
     return out.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("_probability", 6).alias("probability"), F.col("_drawn").alias("drawn"))
 
 
