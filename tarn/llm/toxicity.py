@@ -99,6 +99,7 @@ class Chain:
 
 
 def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """Of largest F1; within the gap that leaves, nearer to the lower side, for texts with fewer marks than any seen."""
     if not y.sum():
         return 2.0
     order = np.argsort(-p, kind="stable")
@@ -106,7 +107,7 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     at = int(f1.argmax())
     after = p[order][at + 1] if at + 1 < len(y) else 0.0
-    return float(np.clip((p[order][at] + after) / 2, 0.1, 0.9))
+    return float(np.clip(after + (p[order][at] - after) / 4, 0.1, 0.9))
 
 
 def fitted(vocabulary: np.ndarray, toxic_terms: set[int], terms: list[np.ndarray], labels: dict[str, np.ndarray], folds: np.ndarray) -> Chain:

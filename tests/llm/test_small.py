@@ -219,7 +219,7 @@ def test_quality_model_orders_held_out_rows(spark, sf, docs, empty):
 def test_toxicity_chain(spark, empty):
     rng = np.random.default_rng(6)
     texts = [(k, " ".join(WORDS[j] for j in rng.integers(0, 20, 30)) + (" Vile! vileness" if k % 5 == 0 else ""), int(k % 7 > 0), int(k % 5 == 0)) for k in range(300)]
-    docs = spark.createDataFrame([(k, t) for k, t, _, _ in texts] + [(1000, None), (1001, "VILE")], "doc_id long, text string")
+    docs = spark.createDataFrame([(k, t) for k, t, _, _ in texts] + [(1000, None), (1001, "such VILE vileness")], "doc_id long, text string")
     labels = spark.createDataFrame([(k, q, t) for k, _, q, t in texts], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r["toxic"] for r in toxicity.scored(docs, toxicity.fit(docs, labels)).collect()}
     assert all(got[k] == bool(t) for k, _, _, t in texts) and not got[1000] and got[1001]
