@@ -547,3 +547,54 @@ def stream_late_drop(spark, d):
 def stream_admit_dedupe(spark, d):
     first = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
     return t(spark, d, "events").withColumn("r", first).where("r = 1").select("event_id", "user_id", "event_type")
+
+
+# counts, options and batches -----------------------------------------------------------------------------------------
+@query("facility_type_pivot", "SELECT p_brand AS ct, count(*) FILTER (p_size % 2 = 0) AS plant, count(*) FILTER (p_size % 2 = 1) AS pumper FROM part GROUP BY 1")
+def facility_type_pivot(spark, d):
+    kind = F.when(F.col("p_size") % 2 == 0, "plant").otherwise("pumper")
+    return t(spark, d, "part").select(F.col("p_brand").alias("ct"), kind.alias("e")).groupBy("ct").pivot("e", ["plant", "pumper"]).count().na.fill(0)
+
+
+@query("facility_top_owners", "SELECT p_brand AS owner, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, owner LIMIT 20")
+def facility_top_owners(spark, d):
+    return t(spark, d, "part").groupBy(F.col("p_brand").alias("owner")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "owner").limit(20)
+
+
+@query("verify_batches", "SELECT id, (row_number() OVER (ORDER BY id) - 1) // 15 AS batch FROM (SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY 1 LIMIT 300)")
+def verify_batches(spark, d):
+    """What is still to be asked about, up to a cap, in batches of 15; earlier results are left out."""
+    left = t(spark, d, "documents").select(F.col("doc_id").alias("id")).join(t(spark, d, "labels").select(F.col("doc_id").alias("id")), "id", "left_anti")
+    return left.orderBy("id").limit(300).select("id", F.floor((F.row_number().over(Window.orderBy("id")) - 1) / 15).alias("batch"))
+
+
+@query("news_validate", f"SELECT id FROM ({NEWS_SQL}) WHERE id % 10 <> 3 AND NOT regexp_matches(headline, '</?[a-zA-Z][^>]*>')")
+def news_validate(spark, d):
+    news = v_news(spark, d).withColumns({"source_url": F.concat(F.lit("https://x.org/"), (F.col("id") % 10).cast("string")), "summary": F.lit("")})
+    return ingest.validated_news(news, spark.createDataFrame([("https://x.org/3",)], "source_url string")).select("id")
+
+
+@query("screener_regions", "SELECT DISTINCT r_name AS region FROM region")
+def screener_regions(spark, d):
+    return v_city(spark, d).select("region").distinct()
+
+
+@query("facility_anti_plants", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey * 3 FROM supplier)")
+def facility_anti_plants(spark, d):
+    return v_facility(spark, d).select("id").join(v_plant(spark, d).select((F.col("id") * 3).alias("id")), "id", "left_anti")
+
+
+@query("verdict_merge", "SELECT doc_id AS id, CASE WHEN doc_id % 4 = 3 THEN 'UNCLEAR' WHEN doc_id % 4 = 1 AND doc_id % 3 = 0 THEN 'UNCLEAR' WHEN doc_id % 4 = 0 THEN 'CONFIRMED_FOG' WHEN doc_id % 4 = 1 THEN 'NOT_FOG' ELSE 'UNCLEAR' END AS classification, CASE WHEN doc_id % 4 = 3 THEN 'no verdict returned' WHEN doc_id % 4 = 1 AND doc_id % 3 = 0 THEN 'DEMOTED: said' ELSE 'said' END AS reason FROM documents")
+def verdict_merge(spark, d):
+    k = F.col("doc_id") % 4
+    found = F.when(k == 0, "CONFIRMED_FOG").when(k == 1, "NOT_FOG").when(k == 2, "UNCLEAR")
+    merged = facilities.merged_verdict(found, F.lit("said"), F.col("doc_id") % 3 == 0)
+    return t(spark, d, "documents").select(F.col("doc_id").alias("id"), merged["classification"].alias("classification"), merged["reason"].alias("reason"))
+
+
+@query("density_matrix", "SELECT n_nationkey AS row, 'zip' AS name, lpad(n_nationkey::VARCHAR, 5, '0') AS value FROM nation UNION ALL SELECT n_nationkey, 'estab', n_regionkey::VARCHAR FROM nation")
+def density_matrix(spark, d):
+    """A header-and-rows matrix, made of nations and read back as (row, name, value)."""
+    rows = t(spark, d, "nation").select(F.struct("n_nationkey", F.array(F.lpad(F.col("n_nationkey").cast("string"), 5, "0"), F.col("n_regionkey").cast("string")).alias("r")).alias("s"))
+    sent = rows.agg(F.to_json(F.concat(F.array(F.array(F.lit("zip"), F.lit("estab"))), F.transform(F.array_sort(F.collect_list("s")), lambda s: s["r"]))).alias("value"))  # 25 rows
+    return readers.matrix(sent)
