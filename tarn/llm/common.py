@@ -21,12 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hash_bound(rows: int, about: int) -> int | None:
+    """What the hash of a key must be under for about so many of rows to be left; None to keep all."""
+    return None if rows <= about else about * (1 << 64) // rows - (1 << 63)
+
+
 def sampled(df: DataFrame, key: str, about: int) -> DataFrame:
-    """About so many rows, those whose hash of key is smallest; all of them where there are no more."""
-    n = df.count()
-    if n <= about:
-        return df
-    return df.where(F.xxhash64(key) < F.lit(about * (1 << 64) // n - (1 << 63))).limit(2 * about)
+    """About so many rows (twice that at most), those whose hash of key is smallest; all where there are no more."""
+    bound = hash_bound(df.count(), about)
+    return df if bound is None else df.where(F.xxhash64(key) < F.lit(bound)).limit(2 * about)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

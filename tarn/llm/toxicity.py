@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm import wordhash
 from tarn.llm.boosting import sigmoid
-from tarn.llm.common import map_batches, sampled, steps, utf8, written
+from tarn.llm.common import hash_bound, map_batches, sampled, steps, utf8, written
 
 TERMS, MIN_ROWS, MIN_G2, TRAINING_ROWS, FOLDS, RIDGE = 1500, 3, 10.8, 20_000, 4, 1e-4
 LABELS = ("junk", "toxic")
@@ -168,7 +168,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Chain:
         kept = [t[np.isin(t, probe.vocabulary, assume_unique=True)] for t in doc_terms(utf8(batch.column(1)))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.list_(pa.int64())), *(batch.column(2 + k) for k in range(len(LABELS)))], names=["doc_id", "terms", *LABELS])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("doc_id", "text", *LABELS)
+    # the sample's bound holds for documents too, before their texts are shuffled
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bound = hash_bound(known.count(), TRAINING_ROWS)
+    texts = texts if bound is None else texts.where(F.xxhash64("doc_id") < bound)
+    rows = texts.join(sample, "doc_id").select("doc_id", "text", *LABELS)
     rows = map_batches(rows, run, "doc_id long, terms array<long>, " + ", ".join(f"{k} int" for k in LABELS)).limit(2 * TRAINING_ROWS).collect()
     if not rows:
         return Chain(vocabulary, (*LABELS, "severe"), [(np.zeros(len(vocabulary)), np.zeros(k), -3.0) for k in range(3)], [2.0] * 3)
