@@ -1,0 +1,27 @@
+"""The operators on what the reviewer of round 1 found: labelled junk, targets, disguises, small tables."""
+
+import numpy as np
+
+from tarn.llm import quality_rules
+
+
+def junk_and_clean(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    return quality_rules.quality(docs).where("not base_failed").join(labels, "doc_id").select("quality", "kept").toPandas()
+
+
+def test_bands_reject_labelled_junk_that_the_base_keeps(spark):
+    seen = junk_and_clean(spark, "/root/testdata/sf0.1")
+    junk, clean = seen[seen.quality == 0].kept, seen[seen.quality == 1].kept
+    assert (~junk).mean() > 0.4 and (~clean).mean() < 0.002
+
+
+def test_one_chunk_out_of_band_rejects_a_long_text(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    long = docs.join(labels, "doc_id").where("quality = 1 and octet_length(text) > 3 * 8192").orderBy("doc_id").first()["text"].encode()
+    size, c = quality_rules.CHUNK_BYTES, quality_rules.Compressor()
+    assert c.verdict(long)[1:] == (0.0, True)
+    noise = bytes(np.random.default_rng(5).integers(33, 127, size).astype(np.uint8))
+    for place in (0, size, 2 * size):
+        _, share, fine = c.verdict(long[:place] + noise + long[place + size :])
+        assert 0 < share < 0.5 and not fine
