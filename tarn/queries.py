@@ -285,6 +285,33 @@ def deal_fuzzy_pairs(spark, d):
     return both.where(match.same_deal(two("target_key"), two("acquirer_key"), two("date"))).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
 
 
+def overlap_sql(a: str, b: str, threshold: float) -> str:
+    """match.names_match of two normalised names."""
+    x, y = f"list_distinct(string_split({a}, ' '))", f"list_distinct(string_split({b}, ' '))"
+    return f"({a} <> '' AND {b} <> '' AND ({a} = {b} OR contains({a}, {b}) OR contains({b}, {a}) OR len(list_intersect({x}, {y}))::DOUBLE / least(len({x}), len({y})) >= {threshold}))"
+
+
+# the whole rule of acquirers and, with places, of targets; deal_fuzzy_pairs keeps what its SQL says: equal acquirers
+WHOLE_DEAL_SQL = f"SELECT id, date::DATE AS date, {company_sql('target')} AS t, {company_sql('acquirer')} AS a, lat, lng FROM (SELECT o_orderkey AS id, o_orderdate AS date, '{{name}} ' || (o_orderkey * 7919 % 9973){{more}} AS target, 'Buyer ' || (o_custkey % 997) AS acquirer, 30 + (o_orderkey * 7919 % 2000) / 1000.0::DOUBLE AS lat, -90 + (o_orderkey * 104729 % 2000) / 1000.0::DOUBLE AS lng FROM orders)"
+
+
+def whole_deals(spark, d, *more):
+    target = F.concat_ws(" ", F.lit("Target"), (F.col("o_orderkey") * 7919 % 9973).cast("string"), *more)
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("date"), target.alias("target"), F.concat(F.lit("Buyer "), (F.col("o_custkey") % 997).cast("string")).alias("acquirer"), F.expr("30 + (o_orderkey * 7919 % 2000) / 1000.0D").alias("lat"), F.expr("-90 + (o_orderkey * 104729 % 2000) / 1000.0D").alias("lng"))
+    return o.select("id", "date", text.normalized_company("target").alias("target_key"), text.normalized_company("acquirer").alias("acquirer_key"), "lat", "lng")
+
+
+@query("deal_fuzzy_pairs_whole", f"WITH k AS MATERIALIZED ({WHOLE_DEAL_SQL.format(name='Target', more='')}) SELECT x.id AS a, y.id AS b FROM k x JOIN k y ON x.id < y.id AND {overlap_sql('x.a', 'y.a', 0.7)} WHERE {overlap_sql('x.t', 'y.t', 0.8)} OR ({overlap_sql('x.t', 'y.t', 0.5)} AND abs(date_diff('day', x.date, y.date)) <= 60)")
+def deal_fuzzy_pairs_whole(spark, d):
+    return match.deal_pairs(whole_deals(spark, d).drop("lat", "lng"))
+
+
+# targets of three words share one, which only the arm of 50 miles takes
+@query("deal_fuzzy_pairs_placed", f"WITH k AS MATERIALIZED ({WHOLE_DEAL_SQL.format(name='Target', more=" || ' ' || (o_orderkey % 89 + 10000)")}) SELECT x.id AS a, y.id AS b FROM k x JOIN k y ON x.id < y.id AND {overlap_sql('x.a', 'y.a', 0.7)} WHERE {overlap_sql('x.t', 'y.t', 0.8)} OR ({overlap_sql('x.t', 'y.t', 0.5)} AND abs(date_diff('day', x.date, y.date)) <= 60) OR ({overlap_sql('x.t', 'y.t', 0.3)} AND abs(date_diff('day', x.date, y.date)) <= 60 AND {MILES_SQL.format(a='x', b='y')} <= 50)")
+def deal_fuzzy_pairs_placed(spark, d):
+    return match.deal_pairs(whole_deals(spark, d, (F.col("o_orderkey") % 89 + 10000).cast("string")))
+
+
 COVER_SQL = f"WITH d AS (SELECT id, date::DATE AS dd, {company_sql('target')} AS t, {company_sql('acquirer')} AS a FROM (SELECT doc_id AS id, date, split_part(headline, ' ', 1) AS target, split_part(headline, ' ', 2) AS acquirer FROM (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS headline, strftime(DATE '2024-01-01' + ((doc_id * 7) % 400)::INT, '%Y-%m-%d') AS date FROM documents))), n AS (SELECT id, date::DATE AS nd, unnest(list_distinct(string_split({company_sql('headline')}, ' '))) AS w FROM ({NEWS_SQL}))"
 
 
