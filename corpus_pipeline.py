@@ -31,7 +31,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample that matches the target weights of sources, languages and topics."""
+    """A sample toward the target weights of sources, languages and topics; cells with too few documents fall short."""
     return mixing.drawn_documents(docs)
 
 

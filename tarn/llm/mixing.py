@@ -2,11 +2,15 @@
 
 Documents fall into cells of source, language and topic. SWEEPS rounds scale the cells' token weights to the target
 share of each source, language and topic in turn. A target is a value's natural share to the power `temper`, made to
-sum to 1 again, unless weights for it are given. The sample is to hold `rate` of all tokens: a cell's documents are
+sum to 1 again, unless weights for the marginal are given in `targets`; then values without a weight get none. The sample is to hold `rate` of all tokens: a cell's documents are
 drawn with probability min(1, lambda * raked / natural tokens), and lambda is what makes the expected tokens right; it
 is exact, from the cells in order of their ratio. A document is drawn when a hash of seed and doc_id, as a number in
 [0, 1), is below its probability, so every rerun draws the same ones.
 
+Drawn so, a cell with too few documents is taken whole and falls short of its target, and the others get its tokens.
+repeated() does not fall short: each document comes rate * raked / natural tokens times, the whole part of it always and
+the rest by the same hash. mix() holds the drawn marginals of either against their targets.
+
 All of it is DataFrame functions in one plan: documents are summed to cells before the shuffle, and only cells, of
 which there are as many as combinations occur, are raked. Cells are broadcast back if there are at most
 BROADCAST_CELLS of them, else joined by shuffle, where the session's skew handling splits hot cells.
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 from tarn.llm.common import written
 
 SWEEPS, TEMPER, RATE, SEED, BROADCAST_CELLS = 12, 0.7, 0.8, "mix-1", 50_000
+#: Stands for a null source or language.
+MISSING = "\x00"
 
 
 def tokens(text: str = "text") -> Column:
@@ -53,19 +59,35 @@ def uniform(seed: str, key: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def raked(cells: DataFrame, dims: tuple[str, ...], temper: float, sweeps: int) -> DataFrame:
+def weight(dim: str, given: dict[str | None, float]) -> Column:
+    """The weight of the dim's value; 0 where none is given."""
+    if not given or min(given.values()) < 0 or not sum(given.values()) > 0:
+        raise ValueError(f"weights of {dim} must be 0 or more, and not all 0")
+    out = F.lit(0.0)
+    for value, w in given.items():
+        out = F.when(F.col(dim) == F.lit(MISSING if value is None else value), F.lit(float(w))).otherwise(out)
+    return out
+
+
+def raked(cells: DataFrame, dims: tuple[str, ...], temper: float, sweeps: int, targets: dict[str, dict[str | None, float]] | None = None) -> DataFrame:
     """cells (dims, n) with `raked`, whose sums over each dim come to its target share of all tokens."""
     every = Window.partitionBy()
     out = cells
+    targets = targets or {}
+    if not set(targets) <= set(dims):
+        raise ValueError(f"targets are of {dims}")
     for d in dims:
-        own = F.pow(F.sum("n").over(Window.partitionBy(d)) / F.sum("n").over(every), F.lit(temper))
+        own = weight(d, targets[d]) if d in targets else F.pow(F.sum("n").over(Window.partitionBy(d)) / F.sum("n").over(every), F.lit(temper))
         # each value's target once: its first cell carries it into the total
         out = out.withColumn(f"_p_{d}", own).withColumn(f"_f_{d}", F.row_number().over(Window.partitionBy(d).orderBy(*dims)) == 1)
         out = out.withColumn(f"_t_{d}", F.col(f"_p_{d}") / F.sum(F.when(F.col(f"_f_{d}"), F.col(f"_p_{d}")).otherwise(0.0)).over(every) * F.sum("n").over(every)).drop(f"_p_{d}", f"_f_{d}")
     out = out.withColumn("raked", F.col("n").cast("double"))
     for _ in range(sweeps):
         for d in dims:
-            out = out.withColumn("raked", F.col("raked") * F.col(f"_t_{d}") / F.sum("raked").over(Window.partitionBy(d)))
+            held = F.sum("raked").over(Window.partitionBy(d))
+            # a weight of 0 leaves nothing to scale
+            out = out.withColumn("raked", F.col("raked") * F.col(f"_t_{d}") / (F.nullif(held, F.lit(0.0)) if targets else held))
+            out = out.withColumn("raked", F.coalesce("raked", F.lit(0.0))) if targets else out
     return out.select(*dims, "n", "raked")
 
 
@@ -81,23 +103,23 @@ def calibrated(cells: DataFrame, dims: tuple[str, ...], rate: float) -> DataFram
     return out.withColumn("probability", F.round(F.least(F.lit(1.0), F.coalesce(F.col("lam") * F.col("ratio"), F.lit(1.0))), 9)).select(*dims, "n", "raked", "probability")
 
 
-def mixed(docs: DataFrame, columns: list[str] | None = None, temper: float = TEMPER, rate: float = RATE, seed: str = SEED, sweeps: int = SWEEPS) -> DataFrame:
-    """docs with _source, _lang, _topic, _tokens, _weight (raked tokens of the document), _probability, _drawn.
+def mixed(docs: DataFrame, columns: list[str] | None = None, temper: float = TEMPER, rate: float = RATE, seed: str = SEED, sweeps: int = SWEEPS, targets: dict[str, dict[str | None, float]] | None = None) -> DataFrame:
+    """docs with _source, _lang, _topic, _tokens, _weight (raked tokens of the document), _probability, _drawn, and
+    targets by _source, _lang or _topic.
 
     Where `columns` are only some of docs' and the text isn't one of them, texts are gone through once, not twice.
     """
     columns = docs.columns if columns is None else columns
     dims = ("_source", "_lang", "_topic")
-    missing = "\x00"
-    keys = docs.withColumns({"_source": F.coalesce("source", F.lit(missing)), "_lang": F.coalesce("lang", F.lit(missing)), "_topic": topic(), "_tokens": tokens()})
+    keys = docs.withColumns({"_source": F.coalesce("source", F.lit(MISSING)), "_lang": F.coalesce("lang", F.lit(MISSING)), "_topic": topic(), "_tokens": tokens()})
     if "text" not in columns:
         keys = written(keys.select("doc_id", *[c for c in columns if c != "doc_id"], *dims, "_tokens"), "keys")
     cells = written(keys.groupBy(*dims).agg(F.sum("_tokens").alias("n")), "cells")
     few = cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
-    fit = written(calibrated(written(raked(cells, dims, temper, sweeps), "raked"), dims, rate), "probabilities")
+    fit = written(calibrated(written(raked(cells, dims, temper, sweeps, targets), "raked"), dims, rate), "probabilities")
     out = keys.join(F.broadcast(fit) if few else fit, list(dims))
     out = out.withColumns({"_weight": F.col("_tokens") * F.col("raked") / F.col("n"), "_drawn": uniform(seed, "doc_id") < F.col("probability"), "_probability": F.col("probability")})
-    out = out.withColumns({d: F.when(F.col(d) != missing, F.col(d)) for d in ("_source", "_lang")})
+    out = out.withColumns({d: F.when(F.col(d) != MISSING, F.col(d)) for d in ("_source", "_lang")})
     return out.select(*columns, *dims, "_tokens", "_weight", "_probability", "_drawn")
 
 
@@ -106,6 +128,26 @@ def drawn_documents(docs: DataFrame, **settings) -> DataFrame:
     return mixed(docs, **settings).where("_drawn").select(*docs.columns)
 
 
+def repeated(docs: DataFrame, columns: list[str] | None = None, rate: float = RATE, seed: str = SEED, **settings) -> DataFrame:
+    """mixed() without _probability and _drawn, but with _expected and _copies, how often a document is to come."""
+    out = mixed(docs, columns, rate=rate, seed=seed, **settings)
+    expected = F.round(F.col("_weight") / F.col("_tokens") * rate, 9)
+    whole = F.floor(expected)
+    out = out.withColumns({"_expected": expected, "_copies": whole + (uniform(seed, "doc_id") < expected - whole).cast("long")})
+    return out.drop("_probability", "_drawn")
+
+
+def mix(out: DataFrame) -> DataFrame:
+    """(marginal, value, natural, target, drawn): shares of tokens in what mixed() or repeated() gives."""
+    copies = F.col("_copies") if "_copies" in out.columns else F.col("_drawn").cast("long")
+    dims = ("_source", "_lang", "_topic")
+    cells = written(out.groupBy(*dims).agg(F.sum("_tokens").alias("natural"), F.sum("_weight").alias("target"), F.sum(F.col("_tokens") * copies).alias("drawn")), "mix")
+    every = F.explode(F.array(*[F.struct(F.lit(d[1:]).alias("marginal"), F.col(d).alias("value")) for d in dims])).alias("m")
+    sums = cells.select(every, "natural", "target", "drawn").groupBy("m.marginal", "m.value").agg(*[F.sum(c).alias(c) for c in ("natural", "target", "drawn")])
+    share = lambda c: F.round(F.col(c) / F.nullif(F.sum(c).over(Window.partitionBy("marginal")), F.lit(0)), 6).alias(c)
+    return sums.select("marginal", "value", *[share(c) for c in ("natural", "target", "drawn")])
+
+
 def oracle(temper: float = TEMPER, rate: float = RATE, seed: str = SEED, sweeps: int = SWEEPS) -> str:
     """The same as DuckDB SQL over `documents`."""
     dims = ("source", "lang", "topic")

@@ -26,6 +26,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("_probability", 6).alias("probability"), F.col("_drawn").alias("drawn"))
 
 
+def op1_mixing_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.repeated(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang"])
+    return out.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("_expected", 6).alias("expected"), F.col("_copies").alias("copies"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(table(spark, sf_dir, "documents"), tokenizer_json(WORD_TOKENIZER), END_ID)
 
@@ -66,6 +71,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op1_mixing_repeated": op1_mixing_repeated,
     "op2_token_files": op2_token_files,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_quality_rules": op4_quality_rules,

@@ -1,8 +1,9 @@
 """The operators on what the reviewer of round 1 found: labelled junk, targets, disguises, small tables."""
 
 import numpy as np
+import pytest
 
-from tarn.llm import quality_rules
+from tarn.llm import mixing, quality_rules
 
 
 def junk_and_clean(spark, sf):
@@ -25,3 +26,19 @@ def test_one_chunk_out_of_band_rejects_a_long_text(spark):
     for place in (0, size, 2 * size):
         _, share, fine = c.verdict(long[:place] + noise + long[place + size :])
         assert 0 < share < 0.5 and not fine
+
+
+def test_repeated_documents_have_the_target_mix(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    given = {"_lang": {"en": 1, "de": 3}, "_topic": {"article": 1, "long": 1}}
+    for targets in (None, given):
+        out = mixing.repeated(docs, ["doc_id"], targets=targets).toPandas()
+        every = out._tokens.sum()
+        assert (out._tokens * out._expected).sum() / every == pytest.approx(mixing.RATE, rel=1e-6)
+        for d in ("_lang", "_topic"):
+            asked, copied = (x.groupby(out[d], dropna=False).sum() / every for x in (out._weight, out._tokens * out._copies / mixing.RATE))
+            assert (asked - copied).abs().max() < 0.06
+            if targets:
+                goal = {k: v / sum(given[d].values()) for k, v in given[d].items()}
+                assert all(v == pytest.approx(goal.get(k, 0), abs=0.02) for k, v in asked.items())
+    assert {r["marginal"] for r in mixing.mix(mixing.repeated(docs, ["doc_id"])).collect()} == {"source", "lang", "topic"}
