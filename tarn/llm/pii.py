@@ -38,7 +38,10 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _DIGIT = re.compile(r"[0-9]")
 #: The generators' patterns.
 _LOOSE_EMAIL = re.compile(r"[\w.%+-]{1,64}\s?(?:@|\(at\)|\[at\]|\{at\}|\sat\s)\s?[\w-]{1,63}(?:\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?[\w-]{2,63}){1,4}", re.I)
-_LOOSE_NUMBER = re.compile(r"[+(]?[0-9](?:[\x20()./_-]{0,2}[0-9]){6,24}")
+_LOOSE_NUMBER = re.compile(r"[+(]?[0-9](?:[\x20()./_-]{0,2}[0-9])*")
+_LOOSE_IP = re.compile(r"(?<![0-9])(?=([0-9]{1,3}(?:(?:\s?(?:\.|\[\.\]|\(\.\)|\[dot\]|\(dot\)|dot)\s?|\s)[0-9]{1,3}){3})(?![0-9]))", re.I)
+_GROUP = re.compile(r"[0-9]+")
+_FITS = (("ip", 7, 12), ("phone", 9, 15), ("card", 12, 19))
 _HINTS = {"email": ("mail", "contact", "write"), "ip": ("ip", "host", "addr", "server"), "card": ("card", "visa", "pay", "credit"), "phone": ("phone", "tel", "call", "fax", "mobile")}
 
 Span = tuple[str, int, int]
@@ -73,16 +76,43 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def _numbers(text: str, begin: int, end: int) -> list[Span]:
+    """Sub-runs of a run of digits that begin and end with a group and have a kind's count of digits.
+
+    Within a longer run an ip is four bytes and a card passes the check digit; the run as a whole need not.
+    """
+    groups = [m.span() for m in _GROUP.finditer(text, begin, end)]
+    out: list[Span] = []
+    for i, (a, _) in enumerate(groups):
+        n, start = 0, a - (a > begin and text[a - 1] in "+(")
+        for j in range(i, len(groups)):
+            n += groups[j][1] - groups[j][0]
+            if n > 19:
+                break
+            whole = i == 0 and j == len(groups) - 1
+            for kind, low, high in _FITS:
+                if low <= n <= high and (whole or _plausible(kind, [text[x:y] for x, y in groups[i : j + 1]])):
+                    out.append((kind, start, groups[j][1]))
+    return out
+
+
+def _plausible(kind: str, groups: list[str]) -> bool:
+    if kind == "ip":
+        return len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
+    return kind != "card" or luhn("".join(groups))
+
+
 def candidates(text: str) -> list[Span]:
-    """Overlapping proposals; a number is proposed as each kind whose count of digits it has."""
+    """Overlapping proposals; a number is proposed as each kind whose count of digits it has, and so are its sub-runs."""
     out: list[Span] = []
     if "@" in text or re.search(r"(?i)\bat\b", text):
         out += [("email", *m.span()) for m in _LOOSE_EMAIL.finditer(text)]
     if _DIGIT.search(text):
         for m in _LOOSE_NUMBER.finditer(text):
-            n = len(_digits(m.group()))
-            out += [(kind, *m.span()) for kind, low, high in (("ip", 7, 12), ("phone", 9, 15), ("card", 12, 19)) if low <= n <= high]
-    return out
+            if m.end() - m.start() >= 7:
+                out += _numbers(text, *m.span())
+        out += [("ip", *m.span(1)) for m in _LOOSE_IP.finditer(text) if _plausible("ip", _GROUP.findall(m.group(1)))]
+    return list(dict.fromkeys(out))
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -94,7 +124,8 @@ def features(text: str, span: Span) -> list[float]:
         len(own), len(digits), len(groups), max(groups), min(groups), own.count("."), own.count(" "), own.count("-"), own.count("("), own.startswith("+"), own.count("@"),
         "at" in own.lower(), "dot" in own.lower(), sum(c.isalpha() for c in own), bool(digits) and luhn(digits), len(groups) == 4 and all(int(g or 0) <= 255 for g in re.findall(r"[0-9]+", own)[:4]),
         groups[-1] == 4, groups[0], digits[:1] in ("3", "4", "5", "6"), any(h in before for h in _HINTS[kind]), before[-1:].isspace() or not before, before[-1:].isalnum(), after[:1].isalnum(), after[:1].isspace() or not after,
-        before.rstrip()[-1:] in (":", "="), "." in own and own.rsplit(".", 1)[-1].isalpha(), len(set(digits)),
+        before.rstrip()[-1:] in (":", "="), "." in own and own.rsplit(".", 1)[-1].isalpha(), len(set(digits)), own.count("["),
+        before.rstrip(" ()./_-")[-1:].isdigit(), after.lstrip(" ()./_-")[:1].isdigit(),
     ]
 
 
@@ -104,7 +135,7 @@ def _disguised(kind: str, own: str, rng: np.random.Generator) -> str:
         at, dot = ((" at ", " dot "), ("[at]", "[dot]"), ("(at)", "."), ("@", "."))[pick]
         return own.replace("@", at).replace(".", dot)
     if kind == "ip":
-        return own
+        return own.replace(".", (" ", "[.]", " dot ", "(.)")[pick])
     if kind == "phone":
         return (own.lstrip("+"), "00" + own.lstrip("+"), re.sub(r"[\x20().-]+", ".", own).lstrip("+"), re.sub(r"[\x20().-]+", "-", own))[pick]
     d = _digits(own)
@@ -116,8 +147,8 @@ def _corrupted(kind: str, own: str, rng: np.random.Generator) -> str:
     if kind == "card":
         at = [k for k, c in enumerate(own) if c.isdigit()][-1]
         return own[:at] + str((int(own[at]) + 1 + rng.integers(8)) % 10) + own[at + 1 :]
-    if kind == "ip":
-        return re.sub(r"^[0-9]+", str(300 + rng.integers(600)), own)
+    if kind == "ip":  # disguised as well, so that the disguise alone tells nothing
+        return _disguised(kind, re.sub(r"^[0-9]+", str(300 + rng.integers(600)), own), rng)
     return re.sub(r"[^0-9]", "", own)[: 7 + rng.integers(5)]
 
 
@@ -141,6 +172,17 @@ def trained(texts: list[str], seed: int = 5) -> dict[str, Model]:
             for make, label in ((_disguised, 1), (_corrupted, 0)):
                 own = make(kind, text[a:b], rng) if kind != "email" or label else text[a:b].replace("@", " ")
                 rows[kind].append((features(text[:a] + own + text[b:], (kind, a, a + len(own))), label))
+                if kind == "email":
+                    continue
+                # parts of a number are none
+                near, at = text[max(0, a - 32) : a] + own + text[b : b + 16], min(a, 32)
+                parts = [x for x in candidates(near) if at <= x[1] and x[2] <= at + len(own) and x[2] - x[1] < len(own)]
+                for x in parts:
+                    rows[x[0]].append((features(near, x), 0))
+            if kind == "card":
+                # two of them with a blank between are two
+                one, near, at = text[a:b], text[max(0, a - 32) : a] + text[a:b] + " " + text[a:b] + text[b : b + 16], min(a, 32)
+                rows[kind] += [(features(near, (kind, k, k + len(one))), 1) for k in (at, at + len(one) + 1)]
         for kind, a, b in candidates(text):
             if not any(a < e and s < b for _, s, e in base):
                 rows[kind].append((features(text, (kind, a, b)), 0))
@@ -168,12 +210,12 @@ def all_spans(text: str, models: dict[str, Model]) -> tuple[list[Span], list[Spa
     by = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(base_spans(text), key=by)
     scored = []
-    for span in dict.fromkeys(candidates(text)):
-        if span[0] in models and not any(span[1] < e and s < span[2] for _, s, e in base):
-            model = models[span[0]]
-            p = float(model.probability(np.array([features(text, span)], float))[0])
-            if p >= model.threshold:
-                scored.append((-p, by(span), span))
+    open_ = [x for x in candidates(text) if x[0] in models and not any(x[1] < e and s < x[2] for _, s, e in base)]
+    for kind in KINDS:
+        some = [x for x in open_ if x[0] == kind]
+        if some:
+            p = models[kind].probability(np.array([features(text, x) for x in some], float))
+            scored += [(-float(q), by(x), x) for q, x in zip(p, some, strict=True) if q >= models[kind].threshold]
     added: list[Span] = []
     for _, _, span in sorted(scored):
         if not any(span[1] < e and s < span[2] for _, s, e in added):

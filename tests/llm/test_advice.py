@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tarn.llm import mixing, quality_rules
+from tarn.llm import mixing, pii, quality_rules
 
 
 def junk_and_clean(spark, sf):
@@ -42,3 +42,13 @@ def test_repeated_documents_have_the_target_mix(spark):
                 goal = {k: v / sum(given[d].values()) for k, v in given[d].items()}
                 assert all(v == pytest.approx(goal.get(k, 0), abs=0.02) for k, v in asked.items())
     assert {r["marginal"] for r in mixing.mix(mixing.repeated(docs, ["doc_id"])).collect()} == {"source", "lang", "topic"}
+
+
+def test_two_cards_and_disguised_addresses_are_found(spark):
+    text = "card 7536784127813050 4845168114407329 then, host 10 dot 1 dot 2 dot 3 or 192[.]168[.]7[.]9 here"
+    found = {(k, text[a:b]) for k, a, b in pii.candidates(text)}
+    cards, ips = {"7536784127813050", "4845168114407329"}, {"10 dot 1 dot 2 dot 3", "192[.]168[.]7[.]9"}
+    assert {("card", c) for c in cards} | {("ip", i) for i in ips} <= found
+    models = pii.fitted(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    _, every = pii.all_spans(text, models)
+    assert {("card", c) for c in cards} | {("ip", i) for i in ips} <= {(k, text[a:b]) for k, a, b in every}
