@@ -160,6 +160,41 @@ def news_retag(spark, d):
     return v_news(spark, d).select("id", first.alias("category"), (first != F.col("lang")).alias("changed"))
 
 
+# the whole text of an article; the queries above and deal_has_news and deal_missing_news keep what their SQL says
+def whole_text():
+    return F.concat_ws(" ", "headline", "summary")
+
+
+WHOLE_LABELS_SQL = LABELS_SQL.replace("regexp_matches(headline,", "regexp_matches(headline || ' ' || summary,")
+
+
+@query("news_classify_multi_whole", f"SELECT id, CASE WHEN len(l) > 0 THEN array_to_string(l, '|') ELSE 'Industry Events' END AS categories, greatest(len(l), 1)::BIGINT AS n FROM (SELECT id, {WHOLE_LABELS_SQL} AS l FROM ({NEWS_SQL}))")
+def news_classify_multi_whole(spark, d):
+    found = rules.labels(whole_text(), TEST_PATTERNS)
+    return v_news(spark, d).select("id", F.array_join(found, "|").alias("categories"), F.size(found).cast("long").alias("n"))
+
+
+@query("news_tag_histogram_whole", f"SELECT n, count(*) AS articles FROM (SELECT greatest(len({WHOLE_LABELS_SQL}), 1)::BIGINT AS n FROM ({NEWS_SQL})) GROUP BY n")
+def news_tag_histogram_whole(spark, d):
+    return v_news(spark, d).groupBy(F.size(rules.labels(whole_text(), TEST_PATTERNS)).cast("long").alias("n")).agg(F.count("*").alias("articles"))
+
+
+@query("news_retag_whole", f"SELECT id, CASE WHEN len(l) > 0 THEN l[1] ELSE 'Industry Events' END AS category, coalesce(l[1], 'Industry Events') <> lang AS changed FROM (SELECT id, lang, {WHOLE_LABELS_SQL} AS l FROM ({NEWS_SQL}))")
+def news_retag_whole(spark, d):
+    first = rules.labels(whole_text(), TEST_PATTERNS, F.col("lang"))[0]
+    return v_news(spark, d).select("id", first.alias("category"), (first != F.col("lang")).alias("changed"))
+
+
+@query("deal_has_news_whole")
+def deal_has_news_whole(spark, d):
+    return ingest.covered_deals(_doc_deals(spark, d), v_news(spark, d).withColumn("date", F.col("date").cast("date")))
+
+
+@query("deal_missing_news_whole")
+def deal_missing_news_whole(spark, d):
+    return _doc_deals(spark, d).select("id").join(deal_has_news_whole(spark, d), "id", "left_anti")
+
+
 @query("news_category_counts_zero_fill", "SELECT k - 1 AS ord, c AS category, count(doc_id)::BIGINT AS n FROM (SELECT unnest(['M&A', 'Regulatory', 'Renewable Fuels', 'Public Co.', 'Restaurant', 'Technology', 'Labor/Ops', 'Infrastructure', 'Industry Events', 'ESG']) AS c, generate_subscripts(range(10), 1)::INT AS k) LEFT JOIN (SELECT doc_id, CASE lang WHEN 'en' THEN 'M&A' WHEN 'fr' THEN 'Regulatory' WHEN 'de' THEN 'ESG' ELSE 'Industry Events' END AS own FROM documents) ON own = c GROUP BY ALL")
 def news_category_counts(spark, d):
     legacy = F.create_map(*[F.lit(x) for x in ("en", "M&A", "fr", "Regulation", "de", "ESG")])
