@@ -4,7 +4,7 @@ A pair of bytes that never lies inside any vocabulary token can't be inside a to
 crosses it. Where in addition the first byte ends a visible character and the second is ASCII white space, or an ASCII
 letter meets punctuation, the pattern that splits text before the merges ends a piece there too and looks no further
 back or ahead: such a cut is certain. Fragments between certain cuts are encoded on their own and remembered, as texts
-repeat them.
+repeat them; long ones are not, so that what a worker remembers is bounded in bytes.
 
 Null texts are empty: no ids, and the empty text comes back. Rows are independent of each other, so repeated rows,
 doc_ids and clashing names don't matter, and an empty table gives an empty result.
@@ -21,27 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import library_tokenizer, map_batches, once_a_worker, steps, utf8
+from tarn.llm.common import Remembered, byte_of_symbol, library_tokenizer, map_batches, once_a_worker, steps, utf8
 
 CACHED_FRAGMENTS = 250_000
 
 
-def _byte_of_symbol() -> dict[str, int]:
-    """The printable stand-ins of byte-level vocabularies: printable Latin-1 stands for itself, the rest from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
-
-
 class ForcedBoundaryBpe:
     """Encoder and decoder for a byte-level tokenizer of the tokenizers library."""
 
     def __init__(self, tokenizer_json: str, most: int = CACHED_FRAGMENTS):
-        self.library, self.known, self.most = library_tokenizer(tokenizer_json), {}, most
+        self.library, self.known = library_tokenizer(tokenizer_json), Remembered(most)
         added = self.library.get_added_tokens_decoder()
         if self.library.normalizer is not None or any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
             raise ValueError("cuts are certain only without a normalizer and added tokens that take white space")
-        symbols = _byte_of_symbol()
+        symbols = byte_of_symbol()
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.bytes_of: list[bytes | None] = [None] * (max(vocabulary.values()) + 1)
         for symbol, i in vocabulary.items():
@@ -98,13 +91,12 @@ class ForcedBoundaryBpe:
     def pieces(self, texts: list[str]) -> list[list[tuple[bytes, str]]]:
         """For each text its fragments' ids, as 32-bit numbers and as text."""
         split = [self.fragments(t) for t in texts]
-        new = [f for f in set().union(*split) if f not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list(set().union(*split))
+        new = self.known.unknown(set().union(*split))
         self._learn(new)
         get = self.known.__getitem__
-        return [list(map(get, fs)) for fs in split]
+        out = [list(map(get, fs)) for fs in split]
+        self.known.settle(new)
+        return out
 
     def encode(self, text: str) -> list[int]:
         return joined_ids(self.pieces([text])[0])

@@ -44,14 +44,19 @@ def _piece(buffer: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words, and for each text the place of its first one, with the total at the end.
+    """The hashes of all words, and for each text the place of its first one, with the total at the end."""
+    hashes, starts, _ = placed_words(b"\n".join(texts), lower)
+    return hashes, np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+
+
+def placed_words(text: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all words, and where each begins and ends.
 
     Work goes in pieces of about a megabyte cut at white space, so that a very long text needs little more memory
     than itself.
     """
-    whole = np.frombuffer(b"\n".join(texts), np.uint8)
-    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    starts, hashes, begin = [], [], 0
+    whole = np.frombuffer(text, np.uint8)
+    starts, ends, hashes, begin = [], [], [], 0
     while begin < len(whole):
         end = begin + _PIECE
         while end < len(whole):
@@ -59,13 +64,14 @@ def words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarr
                 end += int(found[0])
                 break
             end += 4096
-        own, _, hashed = _piece(whole[begin:end], lower)
+        own, until, hashed = _piece(whole[begin:end], lower)
         starts.append(own + begin)
+        ends.append(until + begin)
         hashes.append(hashed)
         begin = min(end, len(whole))
     if not starts:
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), at)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
