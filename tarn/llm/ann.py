@@ -1,15 +1,18 @@
 """Nearest neighbours by cosine with cross-polytope hashing.
 
-Each table turns unit vectors with three rounds of random signs and a fast Hadamard transform, and files a vector under
-the signed axis it comes closest to. A query looks into the buckets of its PROBES closest axes of every table. What
-it finds there is ranked exactly, on the original vectors, within the bucket, so that only `k + 1` candidates a bucket
-and query leave it. Buckets are dealt into blocks of BLOCK vectors, so a hot one is many tasks' work.
-
-Vectors that are null, zero, hold null or non-finite components, or have another length than most take no part. Equal
-vectors count as one while searching: of each, the k + 1 smallest ids are kept, which is all any answer can hold, and
-the answer goes to every query that has the vector. Ties go to the smaller id; of rows that share an id and a vector
-one is kept. A query that found fewer than k is answered by a scan of all vectors in blocks, so nobody
-gets less than there is; small tables (up to EXACT_ROWS vectors) are scanned too. An empty table gives an empty result.
+Each table turns unit vectors twice, with three rounds of random signs and a fast Hadamard transform each, and files a
+vector under the pair of signed axes it comes closest to; of longer vectors the first AXES coordinates count. A query
+looks into the PROBES pairs of every table whose axes are closest to it together, and in the first table goes on until
+EXACT_ROWS vectors are met, so that tables of up to so many are searched whole; this holds at any size. What it meets is
+ranked exactly, on the original vectors, within the bucket of the first axis, so that only `k + 1` candidates a bucket
+and query leave it. Buckets and the queries that look into them are dealt into blocks of BLOCK rows, so a hot one is
+many tasks' work.
+
+Vectors that are null, zero, hold null or non-finite components, or have another length than most (the longest of these
+if several are as frequent) take no part. Equal vectors count as one while searching: of each, the k + 1 smallest ids
+are kept, which is all any answer can hold, and the answer goes to every query that has the vector; a query with several
+vectors asks with each, and the best answers stay. Ties go to the smaller id; of rows that share an id and a vector one
+is kept. Other columns, whatever their names, are passed over. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import map_batches, written
 
-TABLES, PROBES, BLOCK, EXACT_ROWS, SEED = 6, 16, 4096, 2048, 11
+TABLES, PROBES, BLOCK, EXACT_ROWS, AXES, SEED = 10, 352, 4096, 2048, 64, 11
 _FOUND = "key long, vec_id long, score double"
 
 
@@ -47,13 +50,10 @@ def rotated(x: np.ndarray, table: int, seed: int = SEED) -> np.ndarray:
     return x
 
 
-def axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
-    """For each row the `probes` closest signed axes, the closest first."""
-    turned = rotated(x, table)
-    both = np.concatenate((turned, -turned), axis=1)
-    if probes == 1:
-        return both.argmax(axis=1)[:, None]
-    return np.argsort(-both, axis=1, kind="stable")[:, :probes]
+def both_axes(x: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the closeness to every signed axis, under the table's two rotations."""
+    turned = [rotated(x, 2 * table + k)[:, :AXES] for k in (0, 1)]
+    return tuple(np.concatenate((t, -t), axis=1) for t in turned)
 
 
 def usable(vector: str) -> Column:
@@ -66,20 +66,60 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
-def _filed(vectors: DataFrame, tables: int, probes: int, dim: int) -> DataFrame:
-    """A row for each table and probed axis: bucket, id, vector. tables = 0: everything in one bucket."""
+def _scaled(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _filed(vectors: DataFrame, tables: int, kind: str) -> DataFrame:
+    """A row for each table: bucket (the table and the first axis), second (axis), id, vector."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not tables:
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), batch.column(1)], names=["bucket", "id", "vector"])
-        x = _matrix(batch.column(1))
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        p = min(probes, 2 * (1 << max(1, (dim - 1).bit_length())))
-        codes = np.stack([axes(x, t, p) + t * 4 * (dim + 1) for t in range(tables)])
-        rows = np.tile(np.repeat(np.arange(len(x)), p), tables)
-        return pa.RecordBatch.from_arrays([pa.array(codes.reshape(-1).astype(np.int32)), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], names=["bucket", "id", "vector"])
+        x = _scaled(_matrix(batch.column(1)))
+        pairs = [[v.argmax(axis=1) for v in both_axes(x, t)] for t in range(tables)]
+        bucket = np.concatenate([one + t * 2 * AXES for t, (one, _) in enumerate(pairs)])
+        rows = pa.array(np.tile(np.arange(len(x)), tables))
+        return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(np.concatenate([two for _, two in pairs]).astype(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows)], names=["bucket", "second", "id", "vector"])
+
+    return map_batches(vectors, run, f"bucket int, second int, id long, vector array<{kind}>")
+
 
-    return map_batches(vectors, run, "bucket int, id long, vector array<double>")
+def _asked(queries: DataFrame, tables: int, probes: int, least: int, sizes: np.ndarray, kind: str) -> DataFrame:
+    """A row for each table and first axis that a query probes: bucket, seconds (a byte each), id, vector.
+
+    sizes: vectors filed under each (bucket, second axis).
+    """
+    sent = queries.sparkSession.sparkContext.broadcast(sizes)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, bucket, seconds, row = _scaled(_matrix(batch.column(1))), [], [], []
+        for t in range(tables):
+            one, two = both_axes(x, t)
+            held = sent.value[2 * AXES * t : 2 * AXES * (t + 1)]
+            for q in range(len(x)):
+                close = (one[q][:, None] + two[q])[: len(held)]
+                best = np.argpartition(-close, min(probes, close.size) - 1, axis=None)[:probes]
+                if not t and held.ravel()[_flat(best, close.shape, held.shape)].sum() < least:
+                    best = np.argsort(-close, axis=None, kind="stable")
+                    best = best[: max(probes, int(np.searchsorted(np.cumsum(held.ravel()[_flat(best, close.shape, held.shape)]), least)) + 1)]
+                first, second = np.divmod(best, close.shape[1])
+                full = held[first, second] > 0
+                order = np.argsort(first[full], kind="stable")
+                first, second = first[full][order], second[full][order].astype(np.uint8)
+                for own in np.split(np.arange(len(first)), np.flatnonzero(np.diff(first)) + 1) if len(first) else ():
+                    bucket.append(first[own[0]] + t * 2 * AXES)
+                    seconds.append(second[own].tobytes())
+                    row.append(q)
+        rows = pa.array(np.array(row, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.array(bucket, np.int32)), pa.array(seconds, pa.binary()), batch.column(0).take(rows), batch.column(1).take(rows)], names=["bucket", "seconds", "id", "vector"])
+
+    return map_batches(queries, run, f"bucket int, seconds binary, id long, vector array<{kind}>")
+
+
+def _flat(at: np.ndarray, shape: tuple[int, int], other: tuple[int, int]) -> np.ndarray:
+    """Flat places of one shape as those of a wider one."""
+    first, second = np.divmod(at, shape[1])
+    return first * other[1] + second
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -87,40 +127,52 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
-def nearest(queries: np.ndarray, others: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of others, the k of largest cosine for each query, ties to smaller ids: query rows, ids, scores."""
-    order = np.argsort(ids, kind="stable")
+def nearest(queries: np.ndarray, seconds: list[bytes], others: np.ndarray, second: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of others under the second axes that a query probes, the k of largest cosine, ties to smaller ids: query rows,
+    ids, scores."""
+    order = np.lexsort((ids, second))
     others, ids = others[order], ids[order]
-    unit = others / np.sqrt((others * others).sum(axis=1, keepdims=True))
-    rows, found, scores = [], [], []
-    for begin in range(0, len(queries), 256):
-        some = queries[begin : begin + 256]
-        rough = (some / np.sqrt((some * some).sum(axis=1, keepdims=True))) @ unit.T
-        least = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(some), -np.inf)
-        for q in range(len(some)):
-            close = np.flatnonzero(rough[q] >= least[q] - 1e-9)  # the product's rounding doesn't decide
-            exact = cosines(np.broadcast_to(some[q], (len(close), some.shape[1])), others[close])
-            best = np.argsort(-exact, kind="stable")[:k]
-            rows.append(np.full(len(best), begin + q))
-            found.append(ids[close[best]])
-            scores.append(exact[best])
+    first = np.searchsorted(second[order], np.arange(2 * AXES + 1))
+    unit, asked = _scaled(others), _scaled(queries)
+    rows, found, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for q, probed in enumerate(seconds):
+        met = np.concatenate([np.arange(first[s], first[s + 1]) for s in probed])
+        if not len(met):
+            continue
+        rough = unit[met] @ asked[q]
+        if len(met) > k:  # the product's rounding doesn't decide
+            met = met[rough >= np.partition(rough, -k)[-k] - 1e-9]
+        exact = cosines(np.broadcast_to(queries[q], (len(met), queries.shape[1])), others[met])
+        best = np.lexsort((ids[met], -exact))[:k]
+        rows.append(np.full(len(best), q))
+        found.append(ids[met[best]])
+        scores.append(exact[best])
     return np.concatenate(rows), np.concatenate(found), np.concatenate(scores)
 
 
-def _search(index: DataFrame, queries: DataFrame, k: int, tables: int, probes: int, dim: int) -> DataFrame:
-    filed, asked = _filed(index, tables, 1, dim), _filed(queries, tables, probes, dim)
-    sizes = filed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # as many rows as buckets
-    filed = filed.join(F.broadcast(sizes), "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    asked = asked.join(F.broadcast(sizes), "bucket").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _search(index: DataFrame, queries: DataFrame, k: int, tables: int, probes: int, kind: str) -> DataFrame:
+    filed = _filed(index, tables, kind)
+    counts = filed.groupBy("bucket", "second").count().toArrow()  # as many rows as tables have buckets
+    sizes = np.zeros((tables * 2 * AXES, 2 * AXES), np.int64)
+    sizes[counts["bucket"].to_numpy(), counts["second"].to_numpy()] = counts["count"].to_numpy()
+    asked = written(_asked(queries, tables, probes, max(EXACT_ROWS, k), sizes, kind), "probes")
+    spark = index.sparkSession
+    blocks = spark.createDataFrame([(b, int(-(-n // BLOCK))) for b, n in enumerate(sizes.sum(axis=1)) if n], "bucket int, blocks int")
+    asking = asked.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("asking"))  # a row a bucket
+    blocks = F.broadcast(blocks.join(asking, "bucket"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    filed = filed.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("part", every("asking"))
+    asked = asked.join(blocks, "bucket").withColumn("block", every("blocks")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("asking")).cast("int"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"key": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         left, right = left.combine_chunks(), right.combine_chunks()
-        rows, ids, scores = nearest(_matrix(left["vector"].combine_chunks()), _matrix(right["vector"].combine_chunks()), right["id"].to_numpy(), k)
+        rows, ids, scores = nearest(_matrix(left["vector"].combine_chunks()), left["seconds"].to_pylist(), _matrix(right["vector"].combine_chunks()), right["second"].to_numpy(), right["id"].to_numpy(), k)
         return pa.table({"key": left["id"].to_numpy()[rows], "vec_id": ids, "score": scores})
 
-    pairs = asked.select("bucket", "block", "id", "vector").groupBy("bucket", "block").cogroup(filed.select("bucket", "block", "id", "vector").groupBy("bucket", "block")).applyInArrow(run, _FOUND)
+    task = ("bucket", "block", "part")
+    pairs = asked.select(*task, "seconds", "id", "vector").groupBy(*task).cogroup(filed.select(*task, "second", "id", "vector").groupBy(*task)).applyInArrow(run, _FOUND)
     pairs = pairs.groupBy("key", "vec_id").agg(F.max("score").alias("score"))
     best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", best).where(F.col("rank") <= k)
@@ -128,19 +180,18 @@ def _search(index: DataFrame, queries: DataFrame, k: int, tables: int, probes: i
 
 def neighbours(table: DataFrame, is_query: Column, k: int = 5, vector: str = "embedding", tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: for every row of table that is_query, the k nearest other rows."""
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("asks")).where(F.col("vec_id").isNotNull() & usable("vector"))
-    dim = rows.agg(F.mode(F.size("vector"))).first()[0]
-    rows = rows.where(F.size("vector") == F.lit(dim or 0)).withColumn("key", F.xxhash64("vector"))
+    own = table.schema[vector].dataType.elementType.simpleString()
+    kind = own if own == "float" else "double"  # floats are shuffled as such, and compared as doubles
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast(f"array<{kind}>").alias("vector"), is_query.alias("asks")).where(F.col("vec_id").isNotNull() & usable("vector"))
+    lengths = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    rows = rows.where(F.size("vector") == F.lit(lengths["size"] if lengths else 0)).withColumn("key", F.xxhash64("vector"))
+    # ranks beyond k + 1 are cut off before the shuffle (WindowGroupLimit), so a vector that many rows have is no one task's
     place = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     index = written(rows.dropDuplicates(["vec_id", "vector"]).withColumn("place", place).where(F.col("place") <= k + 1).select(F.col("vec_id").alias("id"), "vector"), "vectors")
     asking = rows.where("asks").select("vec_id", "key", "vector")
     asked = written(asking.groupBy("key").agg(F.first("vector").alias("vector")).select(F.col("key").alias("id"), "vector"), "asked")
-    small = index.limit(EXACT_ROWS + 1).count() <= EXACT_ROWS
-    found = written(_search(index, asked, k + 1, 0 if small else tables, probes, dim or 1), "found")
-    if not small:
-        short = asked.join(found.groupBy("key").count().where(F.col("count") > k).select(F.col("key").alias("id")), "id", "left_anti")
-        if not short.isEmpty():
-            found = found.join(short.select(F.col("id").alias("key")), "key", "left_anti").unionByName(_search(index, short, k + 1, 0, 1, dim))
+    found = written(_search(index, asked, k + 1, tables, probes, kind), "found")
     others = asking.select("key", F.col("vec_id").alias("query_id")).distinct().join(found.select("key", "vec_id", "score"), "key").where(F.col("query_id") != F.col("vec_id"))
+    others = others.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return others.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
