@@ -9,7 +9,9 @@ Nobody labels candidates here, so the trees learn from base spans of about SAMPL
 signs and separators dropped or changed, '@' and '.' spelled out) against the candidates that no base pattern took and
 corrupted numbers. Where the sample has too few base spans of a kind, that kind gets no added spans.
 
-Null and empty texts have no spans. Rows are independent; an empty table gives an empty result; offsets count code
+Null and empty texts have no spans. Very long texts and very long runs of digits are searched whole, in time that grows
+with their length. Rows are independent, so ties and repeated rows don't matter; other columns are passed over (or, in
+redacted_documents, kept); an empty table gives an empty result; offsets count code
 points, the end is exclusive.
 """
 
@@ -32,6 +34,8 @@ SAMPLE_DOCS, SAMPLE_BYTES, MIN_TRAINING, MIN_PRECISION = 2000, 32768, 20, 0.995
 #: The contract's patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The same matches, each tried from the start of its run of digits alone, so that long runs take no squared time.
+_IP_BY_RUNS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -52,6 +56,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _byte(digits: str) -> bool:
+    own = digits.lstrip("0")
+    return len(own) <= 3 and int(own or 0) <= 255
+
+
 def _digits(s: str) -> str:
     return "".join(_DIGIT.findall(s))
 
@@ -69,7 +78,7 @@ def base_spans(text: str) -> list[Span]:
             out.append(("email", m.start(), last := m.end()))
         at = text.find("@", max(at + 1, last))
     if _DIGIT.search(text):
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        out += [("ip", *m.span()) for m in _IP_BY_RUNS.finditer(text) if all(_byte(p) for p in m.group().split("."))]
         out += [("card", *m.span()) for m in CARD.finditer(text) if 12 <= len(d := _digits(m.group())) <= 19 and luhn(d)]
         if "+" in text:
             out += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(_digits(m.group())) <= 15]
@@ -98,7 +107,7 @@ def _numbers(text: str, begin: int, end: int) -> list[Span]:
 
 def _plausible(kind: str, groups: list[str]) -> bool:
     if kind == "ip":
-        return len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
+        return len(groups) == 4 and all(len(g) <= 3 and _byte(g) for g in groups)
     return kind != "card" or luhn("".join(groups))
 
 
@@ -122,7 +131,7 @@ def features(text: str, span: Span) -> list[float]:
     groups = [len(g) for g in re.findall(r"[0-9]+", own)] or [0]
     return [
         len(own), len(digits), len(groups), max(groups), min(groups), own.count("."), own.count(" "), own.count("-"), own.count("("), own.startswith("+"), own.count("@"),
-        "at" in own.lower(), "dot" in own.lower(), sum(c.isalpha() for c in own), bool(digits) and luhn(digits), len(groups) == 4 and all(int(g or 0) <= 255 for g in re.findall(r"[0-9]+", own)[:4]),
+        "at" in own.lower(), "dot" in own.lower(), sum(c.isalpha() for c in own), bool(digits) and luhn(digits), len(groups) == 4 and all(_byte(g) for g in re.findall(r"[0-9]+", own)[:4]),
         groups[-1] == 4, groups[0], digits[:1] in ("3", "4", "5", "6"), any(h in before for h in _HINTS[kind]), before[-1:].isspace() or not before, before[-1:].isalnum(), after[:1].isalnum(), after[:1].isspace() or not after,
         before.rstrip()[-1:] in (":", "="), "." in own and own.rsplit(".", 1)[-1].isalpha(), len(set(digits)), own.count("["),
         before.rstrip(" ()./_-")[-1:].isdigit(), after.lstrip(" ()./_-")[:1].isdigit(),
