@@ -16,7 +16,8 @@ which there are as many as combinations occur, are raked. Cells are broadcast ba
 BROADCAST_CELLS of them, else joined by shuffle, where the session's skew handling splits hot cells.
 
 A null source or language is a value of its own; so is a null text's topic, 'empty'. Documents without words weigh one
-token. Rows that share a doc_id are drawn together. An empty table gives an empty result.
+token. Rows that share a doc_id are drawn together. Very long texts count whole. Columns of docs may have any names but
+those that mixed() adds, which replace them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -117,8 +118,9 @@ def mixed(docs: DataFrame, columns: list[str] | None = None, temper: float = TEM
     cells = written(keys.groupBy(*dims).agg(F.sum("_tokens").alias("n")), "cells")
     few = cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
     fit = written(calibrated(written(raked(cells, dims, temper, sweeps, targets), "raked"), dims, rate), "probabilities")
-    out = keys.join(F.broadcast(fit) if few else fit, list(dims))
-    out = out.withColumns({"_weight": F.col("_tokens") * F.col("raked") / F.col("n"), "_drawn": uniform(seed, "doc_id") < F.col("probability"), "_probability": F.col("probability")})
+    fit = fit.select(*dims, F.col("raked").alias("_raked"), F.col("n").alias("_natural"), F.col("probability").alias("_probability"))
+    out = keys.drop("_raked", "_natural", "_probability").join(F.broadcast(fit) if few else fit, list(dims))
+    out = out.withColumns({"_weight": F.col("_tokens") * F.col("_raked") / F.col("_natural"), "_drawn": uniform(seed, "doc_id") < F.col("_probability")})
     out = out.withColumns({d: F.when(F.col(d) != MISSING, F.col(d)) for d in ("_source", "_lang")})
     return out.select(*columns, *dims, "_tokens", "_weight", "_probability", "_drawn")
 
