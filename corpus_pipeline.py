@@ -6,9 +6,10 @@ Every stage works on all rows that its predecessor kept and, but for the last, r
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarn.llm import bpe, minhash, mixing, pii, quality_rules
-from tarn.llm.common import table, written
+from tarn.llm.common import checked_broadcast, table, written
 from tarn.llm.queries import BYTE_TOKENIZER, tokenizer_json
 
 
@@ -18,11 +19,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, similarity 0.8) the document of smallest doc_id stays."""
-    kept = written(minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
-    # repeated rows of one doc_id are one document; rows without one are nobody's copies
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each group of near-duplicates (five words, similarity 0.8) the document of smallest doc_id stays.
+
+    Repeated rows of one doc_id are one document, whose row of the smallest text stays; rows without a doc_id are
+    nobody's copies. Only doc_ids are shuffled: those that go, and those that repeat, are few beside the texts and
+    broadcast after a count, beyond it joined by shuffle.
+    """
+    found = written(minhash.near_duplicates(docs).select("doc_id", "kept").where("doc_id is not null"), "found")
+    dropped = written(found.where("not kept").select("doc_id").distinct(), "dropped")
+    repeated = written(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    kept = docs.join(checked_broadcast(dropped), "doc_id", "left_anti").select(*docs.columns)
+    if repeated.isEmpty():
+        return kept
+    repeated = checked_broadcast(repeated)
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row"))
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select("row.*"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
