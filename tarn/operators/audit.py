@@ -28,3 +28,10 @@ def report(*checks: DataFrame) -> DataFrame:
     for c in checks[1:]:
         out = out.unionByName(c)
     return out
+
+
+def several(rows: DataFrame, bad: dict[int, Column], never: tuple[int, ...] = ()) -> DataFrame:
+    """Checks of one table in one pass: aggregates that count what is bad; those of `never` only inform."""
+    one = rows.agg(*[c.cast("long").alias(str(k)) for k, c in bad.items()])
+    each = F.array(*[F.struct(F.lit(k).alias("check_id"), (F.lit(True) if k in never else F.col(str(k)) == 0).alias("passed"), F.col(str(k)).alias("n_bad")) for k in bad])
+    return one.select(F.explode(each).alias("c")).select("c.*")

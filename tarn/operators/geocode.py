@@ -44,3 +44,15 @@ def geocoded(rows: DataFrame, places: DataFrame, states: dict[str, str], key: st
     asked = rows.where("location is not null").select(key, F.posexplode(listed).alias("ord", "c")).select(key, "ord", "c.place", "c.zoom").where("place != ''")
     hit = asked.join(F.broadcast(places), "place").groupBy(key).agg(F.min(F.struct("ord", "lat", "lng", "zoom")).alias("h"))
     return rows.join(hit.select(key, "h.lat", "h.lng", "h.zoom"), key, "left")
+
+
+def by_city(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """rows (id, location) with lat, lng of places (place, in lower case): the whole text, else the last word of its city
+    with the state."""
+    said = r"([A-Za-z .'\-]+),\s*([A-Z]{2})\b"  # fixed value: how a city and its state are written
+    city, state = F.regexp_extract("location", said, 1), F.regexp_extract("location", said, 2)
+    short = F.lower(F.concat(F.element_at(F.split(F.trim(city), r"\s+"), -1), F.lit(", "), state))
+    asked = rows.withColumns({"_whole": F.lower(F.trim("location")), "_short": F.when(F.trim(city) != "", short)})
+    of = lambda c: places.select(F.col("place").alias(c), F.struct("lat", "lng").alias(f"{c}_at"))
+    out = asked.join(of("_whole"), "_whole", "left").join(of("_short"), "_short", "left").withColumn("_at", F.coalesce("_whole_at", "_short_at"))
+    return out.select(*rows.columns, F.col("_at.lat").alias("lat"), F.col("_at.lng").alias("lng"))

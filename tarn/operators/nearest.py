@@ -16,6 +16,7 @@ def with_nearest(rows: DataFrame, plants: DataFrame, key: str = "id", cell: floa
 
     Few plants are broadcast and reduced on the spot. Many are met cell by cell in growing squares around a row; a
     nearest found within what a square surely covers is right, the rest go on to the next square, the last to all.
+    A cell's height has to go into 360 degrees a whole number of times.
     """
     p = plants.select(F.col("id").alias("np"), F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"))
     d = haversine_miles(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))
@@ -28,11 +29,13 @@ def with_nearest(rows: DataFrame, plants: DataFrame, key: str = "id", cell: floa
     if plants.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return rows.join(reduced(rows.select(key, "lat", "lng").join(F.broadcast(p))), key, "left").select(*own, "np", "nd")
     todo, found = rows.select(key, "lat", "lng"), None
-    filed = p.withColumns({"cy": F.floor(F.col("p_lat") / cell), "cx": F.floor(F.col("p_lng") / cell)})
+    # columns of cells go round the globe
+    column = lambda lng: F.floor((lng + 180.0) / cell)
+    filed = p.withColumns({"cy": F.floor(F.col("p_lat") / cell), "cx": F.pmod(column(F.col("p_lng")), F.lit(round(360 / cell)))})
     for ring in rings:
         reach = F.sequence(F.lit(-ring), F.lit(ring))
         asked = todo.withColumn("dy", F.explode(reach)).withColumn("dx", F.explode(reach))
-        asked = asked.withColumns({"cy": F.floor(F.col("lat") / cell) + F.col("dy"), "cx": F.floor(F.col("lng") / cell) + F.col("dx")})
+        asked = asked.withColumns({"cy": F.floor(F.col("lat") / cell) + F.col("dy"), "cx": F.pmod(column(F.col("lng")) + F.col("dx"), F.lit(round(360 / cell)))})
         best = reduced(asked.join(filed, ["cy", "cx"]))
         sure = todo.join(best, key).where(F.col("nd") <= ring * cell * 69.0 * F.cos(F.radians(F.least(F.abs("lat") + (ring + 1) * cell, F.lit(89.0))))).select(key, "np", "nd")
         found = sure if found is None else found.unionByName(sure)
@@ -41,24 +44,37 @@ def with_nearest(rows: DataFrame, plants: DataFrame, key: str = "id", cell: floa
     return rows.join(found.unionByName(rest), key, "left").select(*own, "np", "nd")
 
 
-def nearest_market(rows: DataFrame, markets: DataFrame, miles: float = 50) -> DataFrame:
-    """Adds is_target_market and target_market_name ("Market (12 mi)"); markets is a small dimension (name, lat, lng)."""
-    m = F.broadcast(markets.select(F.col("name").alias("np"), F.col("lat").alias("m_lat"), F.col("lng").alias("m_lng")))
-    d = haversine_miles(F.col("lat"), F.col("lng"), F.col("m_lat"), F.col("m_lng"))
-    best = rows.join(m).groupBy(*rows.columns).agg(F.min(F.struct(d.alias("d"), F.col("np"))).alias("best"))
-    hit = F.coalesce(F.col("best.d") <= miles, F.lit(False))
-    return best.select(*rows.columns, hit.alias("is_target_market"), F.when(hit, F.concat("best.np", F.lit(" ("), F.round("best.d").cast("int").cast("string"), F.lit(" mi)"))).alias("target_market_name"))
+def nearest_market(rows: DataFrame, markets: DataFrame, miles: float = 50, most: int = 10_000) -> DataFrame:
+    """Adds is_target_market and target_market_name ("Market (12 mi)"); markets (name, lat, lng) is a dimension of at most
+    `most` rows, sent along as one array, so rows are neither shuffled nor merged where they repeat."""
+    if markets.limit(most + 1).count() > most:
+        raise ValueError("markets are a small dimension")
+    one = markets.agg(F.collect_list(F.struct(F.col("name").alias("np"), F.col("lat").alias("m_lat"), F.col("lng").alias("m_lng"))).alias("_markets"))
+    out = rows.join(F.broadcast(one))
+    near = F.array_min(F.transform("_markets", lambda m: F.struct(haversine_miles(F.col("lat"), F.col("lng"), m["m_lat"], m["m_lng"]).alias("d"), m["np"].alias("np"))))
+    best = out.withColumn("_best", near)
+    hit = F.coalesce(F.col("_best.d") <= miles, F.lit(False))
+    return best.select(*rows.columns, hit.alias("is_target_market"), F.when(hit, F.concat("_best.np", F.lit(" ("), F.round("_best.d").cast("int").cast("string"), F.lit(" mi)"))).alias("target_market_name"))
 
 
-def within_radius(rows: DataFrame, others: DataFrame, miles: float, cell_miles: float | None = None) -> DataFrame:
-    """(a, b, miles), a < b, of rows (id, lat, lng) and others within the radius, blocked by cells of that height."""
+def pairs_within(rows: DataFrame, others: DataFrame, miles: float, cell_miles: float | None = None) -> DataFrame:
+    """(a, b, miles) of rows (id, lat, lng) and others within the radius, blocked by cells of that height.
+
+    Cells go round the globe and are as wide as the radius at 80 degrees of latitude; rows nearer to a pole are not for it.
+    """
     step = (cell_miles or miles) / 69.0
-    wide = step / 0.1736  # of a degree of longitude at 80 degrees of latitude
+    around = max(3, int(360 * 0.1736 / step))  # cells of at least that width
+    column = lambda lng: F.floor((lng + 180.0) * (around / 360.0))
     left = rows.select(F.col("id").alias("a"), "lat", "lng", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("dy")).withColumn("dx", F.explode(F.sequence(F.lit(-1), F.lit(1))))
-    left = left.withColumns({"cy": F.floor(F.col("lat") / step) + F.col("dy"), "cx": F.floor(F.col("lng") / wide) + F.col("dx")})
-    right = others.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2")).withColumns({"cy": F.floor(F.col("lat2") / step), "cx": F.floor(F.col("lng2") / wide)})
+    left = left.withColumns({"cy": F.floor(F.col("lat") / step) + F.col("dy"), "cx": F.pmod(column(F.col("lng")) + F.col("dx"), F.lit(around))})
+    right = others.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2")).withColumns({"cy": F.floor(F.col("lat2") / step), "cx": F.pmod(column(F.col("lng2")), F.lit(around))})
     d = haversine_miles(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2"))
-    return left.join(right, ["cy", "cx"]).where((F.col("a") < F.col("b")) & (d <= miles)).select("a", "b", d.alias("miles"))
+    return left.join(right, ["cy", "cx"]).where(d <= miles).select("a", "b", d.alias("miles"))
+
+
+def within_radius(rows: DataFrame, others: DataFrame, miles: float, cell_miles: float | None = None) -> DataFrame:
+    """pairs_within() with a < b."""
+    return pairs_within(rows, others, miles, cell_miles).where("a < b")
 
 
 def renearest(rows: DataFrame, plant: tuple[str, float, float], miles: float = 30) -> DataFrame:
