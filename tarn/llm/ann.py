@@ -84,8 +84,8 @@ def _filed(vectors: DataFrame, tables: int, kind: str) -> DataFrame:
     return map_batches(vectors, run, f"bucket int, second int, id long, vector array<{kind}>")
 
 
-def _asked(queries: DataFrame, tables: int, probes: int, least: int, sizes: np.ndarray, kind: str) -> DataFrame:
-    """A row for each table and first axis that a query probes: bucket, seconds (a byte each), id, vector.
+def _asked(queries: DataFrame, tables: int, probes: int, least: int, sizes: np.ndarray) -> DataFrame:
+    """A row for each table and first axis that a query probes: bucket, seconds (a byte each), id.
 
     sizes: vectors filed under each (bucket, second axis).
     """
@@ -111,9 +111,9 @@ def _asked(queries: DataFrame, tables: int, probes: int, least: int, sizes: np.n
                     seconds.append(second[own].tobytes())
                     row.append(q)
         rows = pa.array(np.array(row, np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.array(bucket, np.int32)), pa.array(seconds, pa.binary()), batch.column(0).take(rows), batch.column(1).take(rows)], names=["bucket", "seconds", "id", "vector"])
+        return pa.RecordBatch.from_arrays([pa.array(np.array(bucket, np.int32)), pa.array(seconds, pa.binary()), batch.column(0).take(rows)], names=["bucket", "seconds", "id"])
 
-    return map_batches(queries, run, f"bucket int, seconds binary, id long, vector array<{kind}>")
+    return map_batches(queries, run, "bucket int, seconds binary, id long")
 
 
 def _flat(at: np.ndarray, shape: tuple[int, int], other: tuple[int, int]) -> np.ndarray:
@@ -155,14 +155,14 @@ def _search(index: DataFrame, queries: DataFrame, k: int, tables: int, probes: i
     counts = filed.groupBy("bucket", "second").count().toArrow()  # as many rows as tables have buckets
     sizes = np.zeros((tables * 2 * AXES, 2 * AXES), np.int64)
     sizes[counts["bucket"].to_numpy(), counts["second"].to_numpy()] = counts["count"].to_numpy()
-    asked = written(_asked(queries, tables, probes, max(EXACT_ROWS, k), sizes, kind), "probes")
+    asked = written(_asked(queries, tables, probes, max(EXACT_ROWS, k), sizes), "probes")
     spark = index.sparkSession
     blocks = spark.createDataFrame([(b, int(-(-n // BLOCK))) for b, n in enumerate(sizes.sum(axis=1)) if n], "bucket int, blocks int")
     asking = asked.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("asking"))  # a row a bucket
     blocks = F.broadcast(blocks.join(asking, "bucket"))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     filed = filed.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("part", every("asking"))
-    asked = asked.join(blocks, "bucket").withColumn("block", every("blocks")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("asking")).cast("int"))
+    asked = asked.join(blocks, "bucket").withColumn("block", every("blocks")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("asking")).cast("int")).join(queries.select("id", "vector"), "id")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
