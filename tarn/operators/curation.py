@@ -16,7 +16,7 @@ def deduplicated_files(feed: DataFrame, archive: DataFrame, score: Column) -> Da
     Ties go to the feed, then the smaller id. A missing first_seen_date is the row's date, or 2000-01-01.
     """
     both = feed.withColumn("file", F.lit("feed")).unionByName(archive.withColumn("file", F.lit("archive"))).withColumn("_score", score)
-    pairs = match.news_pairs(ingest.news_keys(both))
+    pairs = match.news_links(ingest.news_keys(both))
     best = match.survivors(ingest.clustered(both, pairs), "cluster", F.desc("_score"), F.desc("file"), F.col("id"))
     seen = F.coalesce(F.nullif(F.col("first_seen_date"), F.lit("")), F.nullif(F.col("date"), F.lit("")), F.lit("2000-01-01"))
     return best.withColumn("first_seen_date", seen).drop("_score", "cluster")

@@ -2,46 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.geo import haversine_miles
+from tarn.sources.scratch import written
 
-#: A side of a nearest-neighbour join is broadcast up to so many rows; beyond that cells of the globe block the join.
+#: Plants are sent to every task, to be met there by cell, up to so many rows; beyond that both sides are shuffled by cell.
 BROADCAST_ROWS = 20_000
+#: Miles a degree of a great circle, rounded up, and the height of the coarse cells, of which the globe has 46 x 90.
+DEGREE, COARSE = 69.2, 4
 
 
-def with_nearest(rows: DataFrame, plants: DataFrame, key: str = "id", cell: float = 1.0, rings: tuple[int, ...] = (1, 4, 16)) -> DataFrame:
+def with_nearest(rows: DataFrame, plants: DataFrame, key: str = "id", cell: float = 1.0, rings: tuple[int, ...] = (1, 4)) -> DataFrame:
     """rows (key, lat, lng, ...) with np, nd: id and miles of the nearest of plants (id, lat, lng), ties to the smallest id.
 
-    Few plants are broadcast and reduced on the spot. Many are met cell by cell in growing squares around a row; a
-    nearest found within what a square surely covers is right, the rest go on to the next square, the last to all.
-    A cell's height has to go into 360 degrees a whole number of times.
+    Rows meet plants cell by cell in growing squares; a nearest found within what a square surely covers is right, the
+    rest go on. Whoever is open after the last square looks up the occupied coarse cells, at most 46 x 90 whatever the
+    number of plants: no plant of a cell is nearer than its centre less the cell's radius, so only cells that the
+    nearest centre doesn't rule out are joined. No side is ever joined with all of the other, and size changes nothing
+    but how the join by cell is done. A cell's height has to go into 360 degrees a whole number of times. Plants
+    without coordinates or off the globe take no part; rows without coordinates, and all rows where there are no
+    plants, have null.
     """
-    p = plants.select(F.col("id").alias("np"), F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"))
+    filed = plants.select(F.col("id").alias("np"), F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"))
+    filed = filed.where("p_lat between -90 and 90 and p_lng between -180 and 180")
+    if plants.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        filed = filed.hint("broadcast")
     d = haversine_miles(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))
-    own = rows.columns
 
-    def reduced(pairs: DataFrame) -> DataFrame:
+    def cells(lat: Column, lng: Column, height: float) -> dict[str, Column]:
+        # columns of cells go round the globe
+        return {"cy": F.floor(lat / height), "cx": F.pmod(F.floor((lng + 180.0) / height), F.lit(round(360 / height)))}
+
+    def reduced(asked: DataFrame, height: float) -> DataFrame:
+        pairs = asked.join(filed.withColumns(cells(F.col("p_lat"), F.col("p_lng"), height)), ["cy", "cx"])
         best = pairs.groupBy(key).agg(F.min(F.struct(d.alias("nd"), F.col("np"))).alias("best"))
         return best.select(key, F.col("best.np").alias("np"), F.col("best.nd").alias("nd"))
 
-    if plants.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return rows.join(reduced(rows.select(key, "lat", "lng").join(F.broadcast(p))), key, "left").select(*own, "np", "nd")
-    todo, found = rows.select(key, "lat", "lng"), None
-    # columns of cells go round the globe
-    column = lambda lng: F.floor((lng + 180.0) / cell)
-    filed = p.withColumns({"cy": F.floor(F.col("p_lat") / cell), "cx": F.pmod(column(F.col("p_lng")), F.lit(round(360 / cell)))})
+    todo, found = rows.select(key, "lat", "lng").where("lat is not null and lng is not null"), []
     for ring in rings:
         reach = F.sequence(F.lit(-ring), F.lit(ring))
-        asked = todo.withColumn("dy", F.explode(reach)).withColumn("dx", F.explode(reach))
-        asked = asked.withColumns({"cy": F.floor(F.col("lat") / cell) + F.col("dy"), "cx": F.pmod(column(F.col("lng")) + F.col("dx"), F.lit(round(360 / cell)))})
-        best = reduced(asked.join(filed, ["cy", "cx"]))
-        sure = todo.join(best, key).where(F.col("nd") <= ring * cell * 69.0 * F.cos(F.radians(F.least(F.abs("lat") + (ring + 1) * cell, F.lit(89.0))))).select(key, "np", "nd")
-        found = sure if found is None else found.unionByName(sure)
+        asked = todo.withColumns(cells(F.col("lat"), F.col("lng"), cell)).withColumn("dy", F.explode(reach)).withColumn("dx", F.explode(reach))
+        asked = asked.withColumns({"cy": F.col("cy") + F.col("dy"), "cx": F.pmod(F.col("cx") + F.col("dx"), F.lit(round(360 / cell)))})
+        covered = ring * cell * 69.0 * F.cos(F.radians(F.least(F.abs("lat") + (ring + 1) * cell, F.lit(89.0))))
+        sure = written(todo.join(reduced(asked, cell), key).where(F.col("nd") <= covered).select(key, "np", "nd"), "nearest")
+        found.append(sure)
         todo = todo.join(sure, key, "left_anti")
-    rest = reduced(todo.hint("broadcast").join(p) if todo.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else todo.join(p))
-    return rows.join(found.unionByName(rest), key, "left").select(*own, "np", "nd")
+    occupied = filed.select(*[c.alias(n) for n, c in cells(F.col("p_lat"), F.col("p_lng"), COARSE).items()]).distinct().agg(F.collect_list(F.struct("cy", "cx")).alias("_cells"))
+    centre = lambda c: haversine_miles(F.col("lat"), F.col("lng"), (c["cy"] + 0.5) * COARSE, (c["cx"] + 0.5) * COARSE - 180.0)
+    seen = todo.join(F.broadcast(occupied)).withColumn("_cells", F.transform("_cells", lambda c: F.struct(centre(c).alias("d"), c["cy"].alias("cy"), c["cx"].alias("cx"))))
+    within = F.array_min("_cells")["d"] + 2 * COARSE * 0.5 * math.sqrt(2) * DEGREE
+    asked = seen.withColumn("_within", within).withColumn("c", F.explode(F.filter("_cells", lambda c: c["d"] <= F.col("_within")))).select(key, "lat", "lng", "c.cy", "c.cx")
+    found.append(reduced(asked, COARSE))
+    return rows.join(reduce(DataFrame.unionByName, found), key, "left").select(*rows.columns, "np", "nd")
 
 
 def nearest_market(rows: DataFrame, markets: DataFrame, miles: float = 50, most: int = 10_000) -> DataFrame:

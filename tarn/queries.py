@@ -240,13 +240,13 @@ CLUSTER_SQL = MATCH_SQL.replace("WITH k", "WITH RECURSIVE k") + ", e AS (SELECT
 
 @query("news_clusters", CLUSTER_SQL + " SELECT id, cluster FROM c")
 def news_clusters(spark, d):
-    return ingest.clustered(v_news(spark, d).select("id"), match.news_pairs(_keyed(spark, d)))
+    return ingest.clustered(v_news(spark, d).select("id"), match.news_links(_keyed(spark, d)))
 
 
 @query("news_survivors", CLUSTER_SQL + f" SELECT id, cluster, score FROM (SELECT id, cluster, score, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, id) AS r FROM c JOIN (SELECT id, least(length(trim(headline)), 400) + least(length(trim(summary)), 400) + 10 + least(length(trim(source)), 400) AS score FROM ({NEWS_SQL})) USING (id)) WHERE r = 1")
 def news_survivors(spark, d):
     rows = v_news(spark, d).withColumn("score", match.completeness({"headline": "string", "summary": "string", "date": "string", "source": "string"}).cast("long"))
-    out = ingest.clustered(rows.select("id", "score"), match.news_pairs(_keyed(spark, d)))
+    out = ingest.clustered(rows.select("id", "score"), match.news_links(_keyed(spark, d)))
     return match.survivors(out, "cluster", F.desc("score"), F.col("id")).select("id", "cluster", "score")
 
 

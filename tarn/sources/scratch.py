@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only where none is set (tests)."""
+    """The shared folder; a temporary one only where none is set and driver and executors are one process (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tarn-scratch-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

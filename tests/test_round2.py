@@ -1,10 +1,14 @@
 """What the reviewer of round 1 found wrong in the analytics operators, and the operators added since."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from tarn import queries_more  # noqa: F401
-from tarn.operators import curation, match, nearest, verification
+from tarn.operators import curation, ingest, match, nearest, verification
+from tarn.operators.components import components
+from tarn.queries import v_news
 from tarn.sources.scratch import written
 from tarn.streaming import feed
 
@@ -73,3 +77,35 @@ def test_streams_drop_late_and_repeated_rows(spark, tmp_path):
     assert sorted(r[0] for r in ran(feed.deduplicated(stream, ["id"], "ts", "1 day"), "seen")) == [1, 2, 4, 5]
     counts = feed.windowed_counts(stream, "ts", "1 hour", "1 day", "kind")  # sets its own watermark; a stream may have one
     assert [(r[1], r[2]) for r in ran(counts, "counted")] == [("a", 1)]
+
+
+def test_nearest_of_far_rows_without_joining_all(spark):
+    """Rows far from every plant, ties and rows without coordinates, against brute force; no plan has a join with all."""
+    rows = [(k, -80 + k * 37 % 160 + 0.25, -180 + k * 101 % 360 + 0.5) for k in range(30)] + [(100, None, 5.0), (101, 10.0, None)]
+    plants = [(k, 30 + k * 7 % 20 + 0.1, -120 + k * 11 % 50 + 0.2) for k in range(12)] + [(50, 30.1, -119.8), (51, 95.0, 0.0), (52, None, None), (53, -60.0, 179.9)]
+
+    def miles(a, b):
+        la, lb = math.radians(a[1]), math.radians(b[1])
+        return 2 * 3958.8 * math.asin(math.sqrt(math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2))
+
+    usable = [p for p in plants if p[1] is not None and abs(p[1]) <= 90]
+    out = nearest.with_nearest(spark.createDataFrame(rows, PLACES), spark.createDataFrame(plants, PLACES))
+    got = {r["id"]: (r["np"], r["nd"]) for r in out.collect()}
+    for row in rows:
+        if row[1] is None or row[2] is None:
+            assert got[row[0]] == (None, None)
+        else:
+            nd, np = min((miles(row, p), p[0]) for p in usable)
+            assert got[row[0]][0] == np and abs(got[row[0]][1] - nd) < 1e-6
+    none = nearest.with_nearest(spark.createDataFrame(rows, PLACES), spark.createDataFrame([], PLACES))
+    assert none.count() == len(rows) and none.where("np is not null").count() == 0
+
+
+def test_links_have_the_components_of_the_pairs(spark, sf):
+    news = v_news(spark, sf).withColumn("url", F.concat(F.lit("u/"), F.col("id") % 40))
+    again = news.withColumns({"id": F.col("id") + 1_000_000, "date": F.lit("2025-01-05"), "headline": F.upper("headline")}).where("id % 3 = 0")
+    keyed = written(ingest.news_keys(news.unionByName(again)), "keyed")
+    links, pairs = match.news_links(keyed), match.news_pairs(keyed)
+    assert sorted(components(links).collect()) == sorted(components(pairs.select("a", "b")).collect())
+    same = spark.createDataFrame([(k, "Acme buys Bravo Rendering", f"u/{k % 3}", "2026-01-01") for k in range(300)], "id long, headline string, url string, date string")
+    assert match.news_links(ingest.news_keys(same)).count() == 299
