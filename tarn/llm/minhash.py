@@ -135,8 +135,8 @@ def _compared(requests: DataFrame, texts: DataFrame, width: int, percent: int) -
     return rows.groupBy("task").applyInArrow(run, "a long, b long")
 
 
-def _pair_tasks(pairs: DataFrame) -> DataFrame:
-    """Tasks for pairs (a, b): each of one node and up to about BLOCK of its partners; the node with more of them leads."""
+def _pair_tasks(pairs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Tasks for pairs (a, b): each of one node and up to about `block` of its partners; the node with more of them leads."""
     pairs = written(pairs, "pairs")
     if pairs.isEmpty():
         return pairs.select(F.col("a").alias("task"), F.lit(0).alias("side"), F.col("a").alias("node"))
@@ -144,7 +144,7 @@ def _pair_tasks(pairs: DataFrame) -> DataFrame:
     both = pairs.join(ends.select(F.col("node").alias("a"), F.col("degree").alias("da")), "a").join(ends.select(F.col("node").alias("b"), F.col("degree").alias("db")), "b")
     lead = F.col("da") >= F.col("db")
     led = both.select(F.when(lead, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(lead, F.col("b")).otherwise(F.col("a")).alias("y"), F.greatest("da", "db").alias("degree"))
-    tasks = led.select(F.xxhash64("x", F.pmod(F.xxhash64("y"), F.ceil(F.col("degree") / BLOCK))).alias("task"), "x", "y")
+    tasks = led.select(F.xxhash64("x", F.pmod(F.xxhash64("y"), F.ceil(F.col("degree") / block))).alias("task"), "x", "y")
     return tasks.select("task", F.lit(0).alias("side"), F.col("x").alias("node")).distinct().unionByName(tasks.select("task", F.lit(1).alias("side"), F.col("y").alias("node")))
 
 

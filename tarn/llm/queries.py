@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import ann, bpe, minhash, mixing, pii, quality_model, quality_rules, sharding, token_files, toxicity
+from tarn.llm import ann, bpe, hard_negatives, jaccard_join, lexical, minhash, mixing, pii, quality_model, quality_rules, sharding, token_files, toxicity
 from tarn.llm.common import table
 
 WORD_TOKENIZER, BYTE_TOKENIZER, END_ID = "word_bpe_49k.json", "byte_bpe_50k.json", 2
@@ -69,6 +69,19 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op1_mixing_repeated": op1_mixing_repeated,
@@ -81,5 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_ann": op10_ann,
+    "op11_jaccard_join": op11_jaccard_join,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_lexical_search": op13_lexical_search,
 }
-ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.oracle(), "op11_jaccard_join": jaccard_join.oracle(), "op12_hard_negatives": hard_negatives.oracle(), "op13_lexical_search": lexical.oracle()}

@@ -10,6 +10,8 @@ import numpy as np
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+#: All of ASCII but letters and digits; what UTF-8 makes of other characters belongs to words.
+NO_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -33,8 +35,8 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def _piece(buffer: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    space = _SPACE[buffer]
+def _piece(buffer: np.ndarray, lower: bool, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    space = between[buffer]
     edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     up, down = _powers_to(len(buffer))
@@ -43,14 +45,14 @@ def _piece(buffer: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: list[bytes], lower: bool = False, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words, and for each text the place of its first one, with the total at the end."""
-    hashes, starts, _ = placed_words(b"\n".join(texts), lower)
+    hashes, starts, _ = placed_words(b"\n".join(texts), lower, between)
     return hashes, np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
 
 
-def placed_words(text: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hashes of all words, and where each begins and ends.
+def placed_words(text: bytes, lower: bool = False, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all words, and where each begins and ends; `between` marks the bytes that are in no word.
 
     Work goes in pieces of about a megabyte cut at white space, so that a very long text needs little more memory
     than itself.
@@ -60,11 +62,11 @@ def placed_words(text: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarr
     while begin < len(whole):
         end = begin + _PIECE
         while end < len(whole):
-            if len(found := np.flatnonzero(_SPACE[whole[end : end + 4096]])):
+            if len(found := np.flatnonzero(between[whole[end : end + 4096]])):
                 end += int(found[0])
                 break
             end += 4096
-        own, until, hashed = _piece(whole[begin:end], lower)
+        own, until, hashed = _piece(whole[begin:end], lower, between)
         starts.append(own + begin)
         ends.append(until + begin)
         hashes.append(hashed)
