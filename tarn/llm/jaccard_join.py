@@ -28,13 +28,14 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm import wordhash
 from tarn.llm.common import checked_broadcast, map_batches, sliced, utf8, written
 from tarn.llm.minhash import _merged, _near, _open, _pair_tasks, _sharing, shingle_sets
 from tarn.operators.components import components
@@ -142,71 +143,114 @@ class Frequencies:
         order = np.argsort(keys)
         self.keys, self.classes, self.mask = keys[order], np.log2(np.maximum(counts[order], 1)).astype(np.uint8), np.uint64(mask)
 
-    def ordered(self, shingles: np.ndarray) -> np.ndarray:
-        """The set's shingles, rare ones first."""
-        if not len(self.keys) or not len(shingles):
-            return shingles
+    def classes_of(self, shingles: np.ndarray) -> np.ndarray:
+        """0 for a shingle that is not listed."""
+        if not len(self.keys):
+            return np.zeros(len(shingles), np.uint8)
         key = shingles & self.mask
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return shingles[np.lexsort((shingles, np.where(self.keys[at] == key, self.classes[at], 0)))]
+        return np.where(self.keys[at] == key, self.classes[at], 0)
 
+    def ordered(self, shingles: np.ndarray) -> np.ndarray:
+        """The set's shingles, rare ones first."""
+        return shingles[np.lexsort((shingles, self.classes_of(shingles)))]
 
-def frequencies(texts: DataFrame, width: int, total: int, listed: int = LISTED) -> Frequencies:
-    """Counted over all texts (.., text), which have `total` shingles: in tasks of about COUNTED of them, each counted
-    before the shuffle by GATHERED. At most `listed` come to the driver: where more are frequent, the bound rises."""
-    buckets = 1 << (total // COUNTED).bit_length()
-    low = np.uint64(buckets - 1)
 
-    def handed(sets: list[np.ndarray]) -> pa.RecordBatch:
-        hashes, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-        own = (hashes & low).astype(np.int64)
-        order = np.argsort(own, kind="stable")
-        hashes, counts, own = (hashes[order] >> np.uint64(32)).astype(np.uint32), counts[order].astype(np.uint32), own[order]
-        used, first = np.unique(own, return_index=True)
-        cut = lambda x: pa.array([p.tobytes() for p in np.split(x, first[1:])] if len(x) else [], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(used), cut(hashes), cut(counts)], names=["bucket", "rest", "counts"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, many = [], 0
+def _gathered(texts: DataFrame, width: int, handed: Callable[[list, list[np.ndarray]], pa.RecordBatch], schema: str) -> DataFrame:
+    """handed(nodes, sets) of texts (node, text), for about GATHERED shingles of a task at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, sets, many = [], [], 0
         for batch in batches:
             for part in sliced(batch):
-                held += shingle_sets(utf8(part.column(0)), width)
-                many += sum(map(len, held[-part.num_rows :]))
+                own = shingle_sets(utf8(part.column(1)), width)
+                nodes, sets, many = nodes + part.column(0).to_pylist(), sets + own, many + sum(map(len, own))
                 if many >= GATHERED:
-                    yield handed(held)
-                    held, many = [], 0
-        yield handed(held)
+                    yield handed(nodes, sets)
+                    nodes, sets, many = [], [], 0
+        yield handed(nodes, sets)
+
+    return texts.select("node", "text").mapInArrow(run, schema)
+
+
+def _pieces(column: np.ndarray, first: np.ndarray, kind: type) -> pa.Array:
+    """The column's values from each place of `first` to the next, as bytes."""
+    return pa.array([x.astype(kind).tobytes() for x in np.split(column, first[1:])] if len(first) else [], pa.binary())
+
+
+def _whole(table: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(table[column].to_pylist()), kind)
+
+
+def frequencies(texts: DataFrame, width: int, total: int, listed: int = LISTED) -> Frequencies:
+    """Counted over all texts (node, text), which have `total` shingles: in tasks of about COUNTED of them, each counted
+    before the shuffle by GATHERED, and told apart by 24 bits of their hash and the task's number. At most `listed` come
+    to the driver: where more are frequent, the bound rises."""
+    buckets = 1 << (total // COUNTED).bit_length()
+    low = np.uint64(buckets - 1)
+
+    def handed(_: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        hashes = np.concatenate([np.zeros(0, np.uint64), *sets])
+        keys, counts = np.unique((hashes & low) << np.uint64(24) | hashes >> np.uint64(40), return_counts=True)
+        used, first = np.unique(keys >> np.uint64(24), return_index=True)
+        # sorted numbers as the steps between them, of two bytes each where all of a piece are so small
+        steps = np.diff(keys & np.uint64(0xFFFFFF), prepend=np.uint64(0))
+        steps[first] = keys[first] & np.uint64(0xFFFFFF)
+        small = np.maximum.reduceat(steps, first) <= 0xFFFF if len(first) else np.zeros(0, bool)
+        steps = pa.array([x.astype(np.uint16 if s else np.uint32).tobytes() for x, s in zip(np.split(steps, first[1:]), small, strict=len(first) > 0)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(small), steps, _pieces(counts, first, np.uint32)], names=["bucket", "small", "steps", "counts"])
 
     def count(table: pa.Table) -> pa.Table:
-        joined = lambda c: np.frombuffer(b"".join(table[c].to_pylist()), np.uint32)
-        rest, inverse = np.unique(joined("rest"), return_inverse=True)
-        n = np.bincount(inverse, weights=joined("counts").astype(np.float64)).astype(np.int64)
+        rest = [np.cumsum(np.frombuffer(x, np.uint16 if s else np.uint32), dtype=np.uint64) for s, x in zip(table["small"].to_pylist(), table["steps"].to_pylist(), strict=True)]
+        rest, inverse = np.unique(np.concatenate(rest), return_inverse=True)
+        n = np.bincount(inverse, weights=_whole(table, "counts", np.uint32).astype(np.float64)).astype(np.int64)
         often = n >= FREQUENT
-        keys = rest[often].astype(np.uint64) << np.uint64(32) | np.uint64(table["bucket"][0].as_py())
+        keys = rest[often] << np.uint64(40) | np.uint64(table["bucket"][0].as_py())
         return pa.table({"key": pa.array(keys.view(np.int64)), "n": pa.array(n[often])})
 
-    counted = written(texts.select("text").mapInArrow(gather, "bucket long, rest binary, counts binary").groupBy("bucket").applyInArrow(count, "key long, n long"), "frequent")
+    counted = _gathered(texts, width, handed, "bucket long, small boolean, steps binary, counts binary")
+    counted = written(counted.groupBy("bucket").applyInArrow(count, "key long, n long"), "frequent")
     least = FREQUENT
     while counted.where(F.col("n") >= least).count() > listed:
         least *= 2
     rows = counted.where(F.col("n") >= least).toArrow()
-    return Frequencies(rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy(), 0xFFFFFFFF00000000 | (buckets - 1))
+    return Frequencies(rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy(), 0xFFFFFF0000000000 | (buckets - 1))
+
 
+def short_lists(texts: DataFrame, known: Frequencies, width: int, percent: int, total: int) -> DataFrame:
+    """(shingle, node, size, rest) of each text's rarest shingles, all but T - 1, that several texts may share; rest: its
+    shingles not before this one.
 
-def short_lists(texts: DataFrame, known: Frequencies, width: int, percent: int) -> DataFrame:
-    """(shingle, node, size, rest) of each text's rarest shingles, all but T - 1; rest: its shingles not before this one."""
+    Most shingles are one text's own, and go: they are dealt by hash into tasks of about COUNTED / 4, as bytes. Those
+    that `known` lists are several texts' and need no such look; they pass by parts, so that none is one task's.
+    """
+    buckets = 1 << (total // COUNTED).bit_length()
     sent = texts.sparkSession.sparkContext.broadcast(known)
+    names = {"shingle": np.uint64, "node": np.uint32, "node_high": np.int32, "size": np.uint16, "size_high": np.uint16, "rest": np.uint16, "rest_high": np.uint16}
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(utf8(batch.column(1)), width)
+    def handed(nodes: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         keep = [len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0 for s in sets]
-        shingles = np.concatenate([np.zeros(0, np.uint64), *(sent.value.ordered(s)[:k] for s, k in zip(sets, keep, strict=True))])
-        size = np.repeat([len(s) for s in sets], keep)
+        shingle = np.concatenate([np.zeros(0, np.uint64), *(sent.value.ordered(s)[:k] for s, k in zip(sets, keep, strict=True))])
         rest = np.concatenate([np.zeros(0, np.int64), *(len(s) - np.arange(k) for s, k in zip(sets, keep, strict=True))])
-        at = pa.array(np.repeat(np.arange(len(sets)), keep))
-        return pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), batch.column(0).take(at), pa.array(size.astype(np.int32)), pa.array(rest.astype(np.int32))], names=["shingle", "node", "size", "rest"])
-
-    return map_batches(texts, run, "shingle long, node long, size int, rest int")
+        size, node = np.repeat(np.array([len(s) for s in sets], np.int64), keep), np.repeat(np.array(nodes, np.int64), keep)
+        passes = sent.value.classes_of(shingle) > 0
+        bucket = np.where(passes, -1 - wordhash.mix(shingle ^ node.view(np.uint64)).view(np.int64) % buckets, (shingle % np.uint64(buckets)).astype(np.int64))
+        order = np.argsort(bucket, kind="stable")
+        used, first = np.unique(bucket[order], return_index=True)
+        planes = [shingle, node & 0xFFFFFFFF, node >> 32, size & 0xFFFF, size >> 16, rest & 0xFFFF, rest >> 16]
+        return pa.RecordBatch.from_arrays([pa.array(used), *(_pieces(x[order], first, kind) for x, kind in zip(planes, names.values(), strict=True))], names=["bucket", *names])
+
+    def shared(table: pa.Table) -> pa.Table:
+        c = {name: _whole(table, name, kind) for name, kind in names.items()}
+        several = np.ones(len(c["shingle"]), bool)
+        if table["bucket"][0].as_py() >= 0:
+            _, inverse, n = np.unique(c["shingle"], return_inverse=True, return_counts=True)
+            several = n[inverse] > 1
+        both = lambda name: c[f"{name}_high"][several].astype(np.int64) << (32 if name == "node" else 16) | c[name][several]
+        return pa.table({"shingle": c["shingle"][several].view(np.int64), "node": both("node"), "size": both("size").astype(np.int32), "rest": both("rest").astype(np.int32)})
+
+    rows = _gathered(texts, width, handed, "bucket long, " + ", ".join(f"{name} binary" for name in names))
+    return rows.groupBy("bucket").applyInArrow(shared, "shingle long, node long, size int, rest int")
 
 
 def _searched(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -234,7 +278,7 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     nodes = written(signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node")), "nodes")
     whole = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     texts = whole.join(checked_broadcast(nodes.select("node").distinct()), "node", "left_semi")
-    rows = written(short_lists(texts, frequencies(texts, width, total), width, percent), "short_lists")
+    rows = written(short_lists(texts, frequencies(texts, width, total), width, percent, total), "short_lists")
     shared = rows.groupBy("shingle").agg(F.min(F.struct("node", "size", "rest")).alias("center"), F.max("node").alias("last")).where("center.node != last")
     shared = shared.select("shingle", F.col("center.node").alias("center"), F.col("center.size").alias("center_size"), F.col("center.rest").alias("center_rest"))
     members = written(rows.join(shared, "shingle"), "lists")
