@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarn.functions import dates, text
 from tarn.operators import match
 from tarn.plans import packs, rules
+from tarn.sources.scratch import written
 
 
 def normal_category(c: Column) -> Column:
@@ -136,3 +137,19 @@ def merged_batch(batch: DataFrame, feed: DataFrame, archive: DataFrame) -> DataF
     known = pairs.join(old.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).unionByName(pairs.join(old.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")))
     fresh = batch.where(text.normalized_headline("headline") != "").join(known.distinct(), "id", "left_anti")
     return fresh.join(match.admitted(fresh, pairs), "id", "left_semi")
+
+
+def merged_deals(batch: DataFrame, existing: DataFrame) -> DataFrame:
+    """One step of deals: of batch (id, target_key, acquirer_key, date[, lat, lng]) what is no duplicate, (id).
+
+    A deal whose target or acquirer has no name left is rejected, so that half-formed records stay out; so is one that
+    matches a deal of existing, which is as it is, or an earlier admitted one. Ids are unique over both tables.
+    """
+    empty = (F.coalesce("target_key", F.lit("")) == "") | (F.coalesce("acquirer_key", F.lit("")) == "")
+    batch = batch.where(~empty)
+    pairs = written(match.deal_pairs(batch.unionByName(existing)), "deal_pairs")
+    old = existing.select("id")
+    hit = lambda known, other: pairs.join(old.withColumnRenamed("id", known), known, "left_semi").select(F.col(other).alias("id"))
+    fresh = batch.select("id").join(hit("a", "b").unionByName(hit("b", "a")), "id", "left_anti")
+    mine = lambda c: fresh.withColumnRenamed("id", c)
+    return match.admitted(fresh, pairs.join(mine("a"), "a", "left_semi").join(mine("b"), "b", "left_semi").select("a", "b"))

@@ -185,12 +185,15 @@ def news_retag_whole(spark, d):
     return v_news(spark, d).select("id", first.alias("category"), (first != F.col("lang")).alias("changed"))
 
 
-@query("deal_has_news_whole")
+WHOLE_COVER_SQL = f"WITH d AS (SELECT id, date::DATE AS dd, {company_sql('target')} AS t, {company_sql('acquirer')} AS a FROM (SELECT doc_id AS id, date, split_part(headline, ' ', 1) AS target, split_part(headline, ' ', 2) AS acquirer FROM (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS headline, strftime(DATE '2024-01-01' + ((doc_id * 7) % 400)::INT, '%Y-%m-%d') AS date FROM documents))), n AS (SELECT id, date::DATE AS nd, unnest(list_distinct(string_split({company_sql("headline || ' ' || summary")}, ' '))) AS w FROM ({NEWS_SQL})), tw AS (SELECT DISTINCT id, dd, unnest(string_split(t, ' ')) AS w FROM d WHERE t <> '' AND a <> ''), aw AS (SELECT DISTINCT id, dd, unnest(string_split(a, ' ')) AS w FROM d WHERE t <> '' AND a <> ''), c AS (SELECT id FROM d WHERE t = '' OR a = '' UNION SELECT id FROM (SELECT tw.id, n.id AS nid FROM tw JOIN n USING (w) WHERE abs(date_diff('day', dd, nd)) <= 30 INTERSECT SELECT aw.id, n.id AS nid FROM aw JOIN n USING (w) WHERE abs(date_diff('day', dd, nd)) <= 30))"
+
+
+@query("deal_has_news_whole", WHOLE_COVER_SQL + " SELECT id FROM c")
 def deal_has_news_whole(spark, d):
     return ingest.covered_deals(_doc_deals(spark, d), v_news(spark, d).withColumn("date", F.col("date").cast("date")))
 
 
-@query("deal_missing_news_whole")
+@query("deal_missing_news_whole", WHOLE_COVER_SQL + " SELECT id FROM d WHERE id NOT IN (SELECT id FROM c)")
 def deal_missing_news_whole(spark, d):
     return _doc_deals(spark, d).select("id").join(deal_has_news_whole(spark, d), "id", "left_anti")
 
@@ -250,7 +253,7 @@ def news_survivors(spark, d):
     return match.survivors(out, "cluster", F.desc("score"), F.col("id")).select("id", "cluster", "score")
 
 
-@query("stream_greedy_admission")
+@query("stream_greedy_admission", MATCH_SQL.replace("WITH k", "WITH RECURSIVE k").replace("pairs AS (", "pairs AS MATERIALIZED (") + ", turn AS MATERIALIZED (SELECT b, list(a) AS before, row_number() OVER (ORDER BY b) AS n FROM pairs GROUP BY b), step(n, out) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT turn.n, CASE WHEN len(list_filter(before, lambda x: NOT list_contains(out, x))) > 0 THEN list_append(out, turn.b) ELSE out END FROM step JOIN turn ON turn.n = step.n + 1) SELECT id FROM k WHERE id NOT IN (SELECT unnest(out) FROM (SELECT out FROM step ORDER BY n DESC LIMIT 1))")
 def greedy_admission(spark, d):
     return match.admitted(v_news(spark, d), match.news_pairs(_keyed(spark, d)))
 
@@ -328,6 +331,8 @@ def overlap_sql(a: str, b: str, threshold: float) -> str:
 
 # the whole rule of acquirers and, with places, of targets; deal_fuzzy_pairs keeps what its SQL says: equal acquirers
 WHOLE_DEAL_SQL = f"SELECT id, date::DATE AS date, {company_sql('target')} AS t, {company_sql('acquirer')} AS a, lat, lng FROM (SELECT o_orderkey AS id, o_orderdate AS date, '{{name}} ' || (o_orderkey * 7919 % 9973){{more}} AS target, 'Buyer ' || (o_custkey % 997) AS acquirer, 30 + (o_orderkey * 7919 % 2000) / 1000.0::DOUBLE AS lat, -90 + (o_orderkey * 104729 % 2000) / 1000.0::DOUBLE AS lng FROM orders)"
+ALIKE_SQL = f"acquirers AS MATERIALIZED (SELECT DISTINCT a FROM k), alike AS MATERIALIZED (SELECT p.a AS p, q.a AS q FROM acquirers p JOIN acquirers q ON {overlap_sql('p.a', 'q.a', 0.7)}), near AS MATERIALIZED (SELECT x.id AS xi, y.id AS yi, x.t AS xt, y.t AS yt, abs(date_diff('day', x.date, y.date)) <= 60 AS close, x.lat AS xlat, x.lng AS xlng, y.lat AS ylat, y.lng AS ylng FROM k x JOIN alike ON p = x.a JOIN k y ON q = y.a AND x.id < y.id)"
+DEAL_PAIRS_SQL = f"SELECT xi AS a, yi AS b FROM near WHERE {overlap_sql('xt', 'yt', 0.8)} OR close AND {overlap_sql('xt', 'yt', 0.5)}"
 
 
 def whole_deals(spark, d, *more):
@@ -336,17 +341,40 @@ def whole_deals(spark, d, *more):
     return o.select("id", "date", text.normalized_company("target").alias("target_key"), text.normalized_company("acquirer").alias("acquirer_key"), "lat", "lng")
 
 
-@query("deal_fuzzy_pairs_whole", f"WITH k AS MATERIALIZED ({WHOLE_DEAL_SQL.format(name='Target', more='')}) SELECT x.id AS a, y.id AS b FROM k x JOIN k y ON x.id < y.id AND {overlap_sql('x.a', 'y.a', 0.7)} WHERE {overlap_sql('x.t', 'y.t', 0.8)} OR ({overlap_sql('x.t', 'y.t', 0.5)} AND abs(date_diff('day', x.date, y.date)) <= 60)")
+@query("deal_fuzzy_pairs_whole", f"WITH k AS MATERIALIZED ({WHOLE_DEAL_SQL.format(name='Target', more='')}), {ALIKE_SQL} {DEAL_PAIRS_SQL}")
 def deal_fuzzy_pairs_whole(spark, d):
     return match.deal_pairs(whole_deals(spark, d).drop("lat", "lng"))
 
 
 # targets of three words share one, which only the arm of 50 miles takes
-@query("deal_fuzzy_pairs_placed", f"WITH k AS MATERIALIZED ({WHOLE_DEAL_SQL.format(name='Target', more=" || ' ' || (o_orderkey % 89 + 10000)")}) SELECT x.id AS a, y.id AS b FROM k x JOIN k y ON x.id < y.id AND {overlap_sql('x.a', 'y.a', 0.7)} WHERE {overlap_sql('x.t', 'y.t', 0.8)} OR ({overlap_sql('x.t', 'y.t', 0.5)} AND abs(date_diff('day', x.date, y.date)) <= 60) OR ({overlap_sql('x.t', 'y.t', 0.3)} AND abs(date_diff('day', x.date, y.date)) <= 60 AND {MILES_SQL.format(a='x', b='y')} <= 50)")
+@query("deal_fuzzy_pairs_placed", f"WITH k AS MATERIALIZED ({WHOLE_DEAL_SQL.format(name='Target', more=" || ' ' || (o_orderkey % 89 + 10000)")}), {ALIKE_SQL} {DEAL_PAIRS_SQL} OR close AND {overlap_sql('xt', 'yt', 0.3)} AND {MILES_SQL.format(a='x', b='y').replace('x.', 'x').replace('y.', 'y')} <= 50")
 def deal_fuzzy_pairs_placed(spark, d):
     return match.deal_pairs(whole_deals(spark, d, (F.col("o_orderkey") % 89 + 10000).cast("string")))
 
 
+# who hangs together, through classes of equal names
+CLUSTERED_SQL = f"SELECT id, date::DATE AS date, {company_sql('target')} AS t, {company_sql('acquirer')} AS a FROM (SELECT o_orderkey AS id, o_orderdate AS date, 'Plant' || (o_orderkey * 7919 % 9973 // 4) || ' Site' || (o_orderkey % 37) AS target, 'Buyer ' || (o_custkey % 97) AS acquirer FROM orders)"
+
+
+@query("deal_clusters", f"WITH RECURSIVE k AS MATERIALIZED ({CLUSTERED_SQL}), acquirers AS MATERIALIZED (SELECT DISTINCT a FROM k), alike AS MATERIALIZED (SELECT p.a AS p, q.a AS q FROM acquirers p JOIN acquirers q ON {overlap_sql('p.a', 'q.a', 0.7)}), pairs AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM k x JOIN alike ON p = x.a JOIN k y ON q = y.a AND x.id <> y.id WHERE {overlap_sql('x.t', 'y.t', 0.8)} OR abs(date_diff('day', x.date, y.date)) <= 60 AND {overlap_sql('x.t', 'y.t', 0.5)}), reach(node, least) AS (SELECT id, id FROM k UNION SELECT pairs.b, reach.least FROM reach JOIN pairs ON pairs.a = reach.node WHERE reach.least < pairs.b) SELECT node AS id, min(least) AS cluster FROM reach GROUP BY node")
+def deal_clusters(spark, d):
+    target = F.concat(F.lit("Plant"), F.floor(F.col("o_orderkey") * 7919 % 9973 / 4).cast("string"), F.lit(" Site"), (F.col("o_orderkey") % 37).cast("string"))
+    deals = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("date"), text.normalized_company(target).alias("target_key"), text.normalized_company(F.concat(F.lit("Buyer "), (F.col("o_custkey") % 97).cast("string"))).alias("acquirer_key"))
+    return ingest.clustered(deals.select("id"), match.deal_links(deals))
+
+
+# a year of deals is at hand, every seventh without a buyer; the later ones come in id order
+INGEST_SQL = WHOLE_DEAL_SQL.format(name="Target", more="").replace("'Buyer ' || (o_custkey % 997)", "CASE WHEN o_orderkey % 7 = 0 THEN 'The Group' ELSE 'Buyer ' || (o_custkey % 997) END")
+
+
+@query("deal_ingest", f"WITH RECURSIVE k AS MATERIALIZED ({INGEST_SQL}), {ALIKE_SQL}, pairs AS MATERIALIZED ({DEAL_PAIRS_SQL}), old AS MATERIALIZED (SELECT id FROM k WHERE date < DATE '1993-01-01'), fresh AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id)::INT AS n FROM k WHERE date >= DATE '1993-01-01' AND a <> '' AND t <> '' AND id NOT IN (SELECT a FROM pairs WHERE b IN (SELECT id FROM old) UNION SELECT b FROM pairs WHERE a IN (SELECT id FROM old))), earlier AS MATERIALIZED (SELECT y.n, list(x.n) AS before FROM pairs JOIN fresh x ON x.id = pairs.a JOIN fresh y ON y.id = pairs.b GROUP BY y.n), turn AS MATERIALIZED (SELECT n, before, row_number() OVER (ORDER BY n)::INT AS k FROM earlier), step(k, out) AS (SELECT 0, []::INT[] UNION ALL SELECT turn.k, CASE WHEN len(list_filter(before, lambda x: NOT list_contains(out, x))) > 0 THEN list_append(out, turn.n) ELSE out END FROM step JOIN turn ON turn.k = step.k + 1) SELECT id FROM fresh WHERE n NOT IN (SELECT unnest(out) FROM (SELECT out FROM step ORDER BY k DESC LIMIT 1))")
+def deal_ingest(spark, d):
+    acquirer = F.when(F.col("id") % 7 == 0, "").otherwise(F.col("acquirer_key"))
+    deals = whole_deals(spark, d).drop("lat", "lng").withColumn("acquirer_key", acquirer)
+    old = F.col("date") < F.lit("1993-01-01").cast("date")
+    return ingest.merged_deals(deals.where(~old), deals.where(old))
+
+
 COVER_SQL = f"WITH d AS (SELECT id, date::DATE AS dd, {company_sql('target')} AS t, {company_sql('acquirer')} AS a FROM (SELECT doc_id AS id, date, split_part(headline, ' ', 1) AS target, split_part(headline, ' ', 2) AS acquirer FROM (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS headline, strftime(DATE '2024-01-01' + ((doc_id * 7) % 400)::INT, '%Y-%m-%d') AS date FROM documents))), n AS (SELECT id, date::DATE AS nd, unnest(list_distinct(string_split({company_sql('headline')}, ' '))) AS w FROM ({NEWS_SQL}))"
 
 
