@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,17 +130,34 @@ def clustered(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.join(found, rows["id"] == found["node"], "left").select(*[rows[c] for c in rows.columns], F.coalesce("component", "id").alias("cluster"))
 
 
-def merged_batch(batch: DataFrame, feed: DataFrame, archive: DataFrame) -> DataFrame:
-    """One incremental step: of batch (id, headline, url, date) what matches neither history nor an admitted earlier row."""
-    history = feed.select("id", "headline", "url", "date").unionByName(archive.select("id", "headline", "url", "date")).withColumn("_old", F.lit(True))
-    both = history.unionByName(batch.select("id", "headline", "url", "date").withColumn("_old", F.lit(False)))
-    pairs = match.news_pairs(news_keys(both))
-    old = history.select("id")
-    known = pairs.join(old.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).unionByName(pairs.join(old.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")))
-    fresh = batch.where(text.normalized_headline("headline") != "").join(known.distinct(), "id", "left_anti")
+def admitted_news(batch: DataFrame, known: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Of batch (id, headline, url, date) what no function of `known` says (id of news_keys() rows) to be there already,
+    and what matches no admitted earlier row of the batch."""
+    keyed = written(news_keys(batch), "keyed")
+    fresh = batch.where(text.normalized_headline("headline") != "")
+    for matched in known:
+        fresh = fresh.join(matched(keyed), "id", "left_anti")
+    fresh = written(fresh, "fresh")
+    pairs = match.news_pairs(keyed.join(fresh.select("id"), "id", "left_semi"))
     return fresh.join(match.admitted(fresh, pairs), "id", "left_semi")
 
 
+def merged_batch(batch: DataFrame, feed: DataFrame, archive: DataFrame) -> DataFrame:
+    """One incremental step: of batch (id, headline, url, date) what matches neither history nor an admitted earlier row.
+
+    History is matched whole; a feed of many batches keeps it keyed (streaming.history). Ids are unique over all three.
+    """
+    columns = ("id", "headline", "url", "date")
+    old = feed.select(*columns).unionByName(archive.select(*columns))
+
+    def matched(keyed: DataFrame) -> DataFrame:
+        pairs = match.news_pairs(keyed.unionByName(news_keys(old)))
+        ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other")))
+        return ends.join(old.select(F.col("id").alias("other")), "other", "left_semi").select("id").distinct()
+
+    return admitted_news(batch.select(*columns), [matched])
+
+
 def merged_deals(batch: DataFrame, existing: DataFrame) -> DataFrame:
     """One step of deals: of batch (id, target_key, acquirer_key, date[, lat, lng]) what is no duplicate, (id).
 
