@@ -107,7 +107,7 @@ def bullets(as_text: Column, as_list: Column) -> Column:
 
 def recipients(c: str | Column) -> Column:
     """Comma-separated addresses, trimmed, without blanks."""
-    return F.filter(F.transform(F.split(text(c), ","), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(text(c), ","), lambda x: F.trim(x)), lambda a: a != "")
 
 
 def bad_text_reason(*columns: str) -> Column:

@@ -13,11 +13,14 @@ from tarn.operators.nearest import pairs_within
 def deduplicated_files(feed: DataFrame, archive: DataFrame, score: Column) -> DataFrame:
     """Both files' rows (id, headline, url, date, first_seen_date, ..) with `file`, of each cluster the best by score.
 
-    Ties go to the feed, then the smaller id. A missing first_seen_date is the row's date, or 2000-01-01.
+    Ties go to the feed, then the smaller id. A missing first_seen_date is the row's date, or 2000-01-01. Ids are a file's
+    own: rows of both files may share one.
     """
     both = feed.withColumn("file", F.lit("feed")).unionByName(archive.withColumn("file", F.lit("archive"))).withColumn("_score", score)
+    both = both.withColumns({"_id": F.col("id"), "id": F.concat_ws(":", "file", F.col("id").cast("string"))})
     pairs = match.news_links(ingest.news_keys(both))
-    best = match.survivors(ingest.clustered(both, pairs), "cluster", F.desc("_score"), F.desc("file"), F.col("id"))
+    best = match.survivors(ingest.clustered(both, pairs), "cluster", F.desc("_score"), F.desc("file"), F.col("_id"))
+    best = best.withColumn("id", F.col("_id")).drop("_id")
     seen = F.coalesce(F.nullif(F.col("first_seen_date"), F.lit("")), F.nullif(F.col("date"), F.lit("")), F.lit("2000-01-01"))
     return best.withColumn("first_seen_date", seen).drop("_score", "cluster")
 
@@ -45,9 +48,10 @@ def coerced_operators(raw: DataFrame, metro: str = "metro") -> DataFrame:
     return rows.select("id", name.alias("n"), blank("address").alias("ad"), given("city", 1), given("state", -1), F.round(lat, 5).alias("la"), F.round(lng, 5).alias("lo"), name.alias("op"), F.lit("Independent").alias("o"), F.lit("web_search").alias("src"), blank("services").alias("_services"), blank("size").alias("_size"))
 
 
-def short_record(columns: dict[str, Column], optional: tuple[str, ...]) -> Column:
-    """A record as JSON under short keys: nulls are empty texts, but empty optional ones are left out."""
-    kept = lambda k, c: F.nullif(c.cast("string"), F.lit("")) if k in optional else c
+def short_record(columns: dict[str, Column], optional: tuple[str, ...], numbers: tuple[str, ...] = ("la", "lo", "nd")) -> Column:
+    """A record as JSON under short keys: nulls are empty texts, but empty optional ones are left out, and so are
+    numbers that there are none of."""
+    kept = lambda k, c: F.nullif(c.cast("string"), F.lit("")) if k in optional else c if k in numbers else F.coalesce(c.cast("string"), F.lit(""))
     return F.to_json(F.struct(*[kept(k, c).alias(k) for k, c in columns.items()]), {"ignoreNullFields": "true"})
 
 

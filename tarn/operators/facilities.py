@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions import geo, text
-from tarn.plans import packs, rules
+from tarn.plans import fixed, packs, rules
+from tarn.plans.rulebook import Rulebook
 from tarn.plans.rules import Rule, contains_any, matches, starts_with_any
 
 
@@ -16,13 +19,13 @@ def cascade(pack: packs.FacilityPack = packs.FACILITY, name: str = "n", operator
     all_ = F.concat_ws(" ", n, F.lower(text.text(operator)), F.lower(text.text(owner)))
     codes = rules.naics_codes(F.col(naics))
     has = lambda *c: F.arrays_overlap(codes, F.array(*[F.lit(x) for x in c]))
-    positive, negative = contains_any(all_, pack.positive), contains_any(n, pack.negative)
-    renders = matches(all_, pack.rendering)
+    positive, negative = contains_any(n, pack.positive), contains_any(n, pack.negative)
+    renders = matches(n, pack.rendering)
     return rules.first_match(
         [
             Rule("kept_consolidator", F.coalesce(F.col(code).isin(*pack.brand_codes), F.lit(False)) | contains_any(all_, pack.brands)),
             Rule("dropped_treatment_works", contains_any(n, pack.treatment_works)),
-            Rule("dropped_municipal", starts_with_any(n, pack.municipal_starts) | contains_any(n, pack.municipal_parts)),
+            Rule("dropped_municipal", starts_with_any(F.trim(n), pack.municipal_starts) | contains_any(n, pack.municipal_parts)),
             Rule("dropped_negative", negative & ~positive),
             Rule("kept_562991", has("562991")),
             Rule("kept_311613_brand", has("311613") & matches(all_, pack.renderer_brands)),
@@ -38,15 +41,18 @@ def cascade(pack: packs.FacilityPack = packs.FACILITY, name: str = "n", operator
     )
 
 
-def is_collector(keywords, weak, strong, municipal: str, works, negative, naics: str = "na", name: str = "n") -> Column:
-    """NAICS 562991 or a keyword (a weak one needs a strong one beside it), and nothing that speaks against."""
+def is_collector(keywords=fixed.COLLECTING, weak=fixed.COLLECTING_WEAK, strong=fixed.COLLECTING_STRONG, municipal: str = "|".join(fixed.NOT_COLLECTING_MUNICIPAL), works=fixed.NOT_COLLECTING_WORKS, negative=fixed.NOT_COLLECTING, naics: str = "na", name: str = "n") -> Column:
+    """NAICS 562991 or a keyword (a weak one needs a strong one beside it), and nothing that speaks against; a name."""
     n = F.lower(text.text(name))
     keyword = contains_any(n, [k for k in keywords if k not in weak]) | (contains_any(n, weak) & contains_any(n, strong))
-    return (F.array_contains(rules.naics_codes(F.col(naics), ";"), "562991") | keyword) & ~matches(n, municipal) & ~contains_any(n, works) & ~contains_any(n, negative)
+    return (F.trim(n) != "") & (F.array_contains(rules.naics_codes(F.col(naics), ";"), "562991") | keyword) & ~matches(n, municipal) & ~contains_any(n, works) & ~contains_any(n, negative)
 
 
 def brand(families, name: Column) -> Column:
-    """struct(parent, type) of the first family (pattern, parent, type) that the name matches, else itself, independent."""
+    """struct(parent, type) of the first family (pattern, parent, type) that the name matches, else itself, independent.
+
+    For a few families; a rulebook takes hundreds.
+    """
     out = None
     for pattern, parent, kind in families:
         one = F.struct(F.lit(parent).alias("parent"), F.lit(kind).alias("type"))
@@ -54,6 +60,46 @@ def brand(families, name: Column) -> Column:
     return out.otherwise(F.struct(name.alias("parent"), F.lit("Independent").alias("type")))
 
 
+#: Rules of families, whose kind is the family's number: patterns as whole words, and words as they are.
+FAMILY_RULES = Rulebook([(str(k), rf"\b(?:{p})\b") for k, (*_, patterns) in enumerate(fixed.FAMILIES) for p in patterns])
+OWNER_RULES = Rulebook([(str(k), rf"\b{re.escape(w)}\b") for k, (*_, words) in enumerate(fixed.COLLECTOR_OWNERS) for w in words])
+
+
+def _family(rulebook: Rulebook, name: Column, values: list[tuple[str, ...]], columns: tuple[str, ...]) -> Column:
+    """A struct of the values of the first family that a rule finds, or null."""
+    every = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row, strict=True)]) for row in values])
+    number = rulebook.first_kind(rulebook.found(name)).cast("int")
+    return F.when(number.isNotNull(), F.element_at(every, number + 1))
+
+
+def consolidator(name: Column) -> Column:
+    """struct(code, type, parent) of the first consolidator whose patterns the name matches, or null."""
+    return _family(FAMILY_RULES, name, [f[:3] for f in fixed.FAMILIES], ("code", "type", "parent"))
+
+
+def collector_owner(name: Column) -> Column:
+    """struct(parent, type) of the collector's owner by the name; else the name itself, independent."""
+    found = _family(OWNER_RULES, name, [f[:2] for f in fixed.COLLECTOR_OWNERS], ("parent", "type"))
+    return F.coalesce(found, F.struct(F.coalesce(name, F.lit("")).alias("parent"), F.lit("Independent").alias("type")))
+
+
+def entity(name: Column, naics: Column) -> Column:
+    """plant or pumper, by codes and words; plants first, and plant where nothing says."""
+    n, codes = F.lower(F.coalesce(name, F.lit(""))), rules.naics_codes(naics)
+    has = lambda some: F.arrays_overlap(codes, F.array(*[F.lit(c) for c in some]))
+    return F.when(has(fixed.PLANT_CODES) | contains_any(n, fixed.PLANT_WORDS), "plant").when(has(fixed.PUMPER_CODES) | contains_any(n, fixed.PUMPER_WORDS), "pumper").otherwise("plant")
+
+
+def supplements(registry: DataFrame, existing: DataFrame) -> DataFrame:
+    """Consolidators' facilities of a registry (i, n, na, lat, lng as texts, ..) that existing (i) lacks: with numbers as
+    coordinates, within the country's frame, rounded, and op, ot, ct, e by name and codes. Rows without id or name go."""
+    lat, lng = F.col("lat").try_cast("double"), F.col("lng").try_cast("double")
+    fine = (F.coalesce("i", F.lit("")) != "") & F.col("n").isNotNull() & (lat > 17) & (lat < 72) & (lng > -180) & (lng < -64)
+    rows = registry.where(fine).join(existing.select("i").distinct(), "i", "left_anti").withColumn("_c", consolidator(F.col("n"))).where("_c is not null")
+    others = [c for c in registry.columns if c not in ("lat", "lng")]
+    return rows.select(*others, F.round(lat, 5).alias("la"), F.round(lng, 5).alias("lo"), F.col("_c.parent").alias("op"), F.col("_c.type").alias("ot"), F.col("_c.code").alias("ct"), entity(F.col("n"), F.col("na")).alias("e"))
+
+
 def bucket(o: Column) -> Column:
     """The owner bucket of an owner type."""
     o = F.coalesce(o, F.lit(""))

@@ -40,25 +40,27 @@ def with_nearest(rows: DataFrame, plants: DataFrame, key: str = "id", cell: floa
 
     def reduced(asked: DataFrame, height: float) -> DataFrame:
         pairs = asked.join(filed.withColumns(cells(F.col("p_lat"), F.col("p_lng"), height)), ["cy", "cx"])
-        best = pairs.groupBy(key).agg(F.min(F.struct(d.alias("nd"), F.col("np"))).alias("best"))
-        return best.select(key, F.col("best.np").alias("np"), F.col("best.nd").alias("nd"))
+        best = pairs.groupBy("_at").agg(F.min(F.struct(d.alias("nd"), F.col("np"))).alias("best"))
+        return best.select("_at", F.col("best.np").alias("np"), F.col("best.nd").alias("nd"))
 
-    todo, found = rows.select(key, "lat", "lng").where("lat is not null and lng is not null"), []
+    # rows that share a key, or have none, are told apart by where they are
+    at = F.struct(F.col(key).alias("key"), F.col("lat").alias("lat"), F.col("lng").alias("lng"))
+    todo, found = written(rows.select(at.alias("_at"), "lat", "lng").where("lat is not null and lng is not null").distinct(), "places"), []
     for ring in rings:
         reach = F.sequence(F.lit(-ring), F.lit(ring))
         asked = todo.withColumns(cells(F.col("lat"), F.col("lng"), cell)).withColumn("dy", F.explode(reach)).withColumn("dx", F.explode(reach))
         asked = asked.withColumns({"cy": F.col("cy") + F.col("dy"), "cx": F.pmod(F.col("cx") + F.col("dx"), F.lit(round(360 / cell)))})
         covered = ring * cell * 69.0 * F.cos(F.radians(F.least(F.abs("lat") + (ring + 1) * cell, F.lit(89.0))))
-        sure = written(todo.join(reduced(asked, cell), key).where(F.col("nd") <= covered).select(key, "np", "nd"), "nearest")
+        sure = written(todo.join(reduced(asked, cell), "_at").where(F.col("nd") <= covered).select("_at", "np", "nd"), "nearest")
         found.append(sure)
-        todo = todo.join(sure, key, "left_anti")
+        todo = written(todo.join(sure, "_at", "left_anti"), "open_places")
     occupied = filed.select(*[c.alias(n) for n, c in cells(F.col("p_lat"), F.col("p_lng"), COARSE).items()]).distinct().agg(F.collect_list(F.struct("cy", "cx")).alias("_cells"))
     centre = lambda c: haversine_miles(F.col("lat"), F.col("lng"), (c["cy"] + 0.5) * COARSE, (c["cx"] + 0.5) * COARSE - 180.0)
     seen = todo.join(F.broadcast(occupied)).withColumn("_cells", F.transform("_cells", lambda c: F.struct(centre(c).alias("d"), c["cy"].alias("cy"), c["cx"].alias("cx"))))
     within = F.array_min("_cells")["d"] + 2 * COARSE * 0.5 * math.sqrt(2) * DEGREE
-    asked = seen.withColumn("_within", within).withColumn("c", F.explode(F.filter("_cells", lambda c: c["d"] <= F.col("_within")))).select(key, "lat", "lng", "c.cy", "c.cx")
+    asked = seen.withColumn("_within", within).withColumn("c", F.explode(F.filter("_cells", lambda c: c["d"] <= F.col("_within")))).select("_at", "lat", "lng", "c.cy", "c.cx")
     found.append(reduced(asked, COARSE))
-    return rows.join(reduce(DataFrame.unionByName, found), key, "left").select(*rows.columns, "np", "nd")
+    return rows.withColumn("_at", at).join(reduce(DataFrame.unionByName, found), "_at", "left").select(*rows.columns, "np", "nd")
 
 
 def nearest_market(rows: DataFrame, markets: DataFrame, miles: float = 50, most: int = 10_000) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text
 from tarn.operators.facilities import merged_verdict
+from tarn.plans import fixed
 from tarn.plans.rules import matches
 
 VALID = ("CONFIRMED_FOG", "NOT_FOG", "UNCLEAR")
@@ -27,7 +28,7 @@ def tier_label(bucket: Column, own: Column | None = None) -> Column:
     return label if own is None else F.coalesce(F.nullif(own, F.lit("")), label)
 
 
-def pre_classified(rows: DataFrame, names: Sequence[str], brands: Sequence[str]) -> DataFrame:
+def pre_classified(rows: DataFrame, names: Sequence[str] = fixed.CONFIRMED_NAMES, brands: Sequence[str] = fixed.CONFIRMED_BRANDS) -> DataFrame:
     """(id, classification, reason) of rows (id, bucket, n, op, ot) that need no verdict; the first reason counts."""
     by = F.concat_ws(" ", text.text("op"), text.text("ot"))
     reason = F.when(F.col("bucket") == "MUN", "auto: MUN bucket (municipal WWTP)").when(any_of(text.text("n"), names), "auto: facility name matches wastewater/septic pattern").when(any_of(by, brands), "auto: operator matches known FOG brand")
@@ -46,7 +47,7 @@ def with_verdicts(rows: DataFrame, verdicts: DataFrame, branded: Column) -> Data
     return out.select(*rows.columns, F.col("_m.classification").alias("classification"), F.col("_m.reason").alias("reason"))
 
 
-def promoted(results: DataFrame, names: Sequence[str], brands: Sequence[str]) -> DataFrame:
+def promoted(results: DataFrame, names: Sequence[str] = fixed.CONFIRMED_NAMES, brands: Sequence[str] = fixed.CONFIRMED_BRANDS) -> DataFrame:
     """results (.., name, operator, classification, reason) with what the whitelist knows confirmed after the fact."""
     open_ = F.coalesce(F.col("classification") != "CONFIRMED_FOG", F.lit(True))
     by_name, by_brand = open_ & any_of(text.text("name"), names), open_ & any_of(text.text("operator"), brands)
@@ -59,8 +60,9 @@ def to_rerun(results: DataFrame) -> DataFrame:
 
 
 def rerun(results: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """results with the second round's valid verdicts (id, classification, reason) for those without one."""
-    v = verdicts.where(F.col("classification").isin(*VALID)).groupBy(F.col("id").cast("string").alias("_id")).agg(F.max(F.struct("classification", "reason")).alias("v"))
+    """results with the second round's verdicts (id, classification, reason, at) for those without one; of several the
+    last by `at` counts, if it is valid."""
+    v = verdicts.groupBy(F.col("id").cast("string").alias("_id")).agg(F.max_by(F.struct("classification", "reason"), "at").alias("v")).where(F.col("v.classification").isin(*VALID))
     out = results.withColumn("_id", F.col("id").cast("string")).join(v, "_id", "left")
     again = (F.col("reason") == "no verdict returned") & F.col("v").isNotNull()
     said = F.concat(F.substring(text.text("v.reason"), 1, 200), F.lit(" (re-run)"))

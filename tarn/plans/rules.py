@@ -21,7 +21,8 @@ def starts_with_any(c: Column, parts: Sequence[str]) -> Column:
 
 
 def matches(c: Column, pattern: str) -> Column:
-    return F.coalesce(c.rlike("(?iu)" + pattern), F.lit(False))
+    """In any case; only \\n ends a line."""
+    return F.coalesce(c.rlike("(?iud)" + pattern), F.lit(False))
 
 
 @dataclass(frozen=True)
@@ -45,4 +46,4 @@ def labels(text: Column, patterns: Sequence[tuple[str, str]], primary: Column |
 
 
 def naics_codes(c: Column, separators: str = "[;,]") -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), separators), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), separators), lambda x: F.trim(x)), lambda x: x != "")

@@ -434,7 +434,7 @@ def facility_coord_repair(spark, d):
     return facilities.repaired(f, v_box(spark, d), zips).select("id", "fix", "lat", "lng")
 
 
-CASCADE_SQL = "CASE WHEN p_type = 'ECONOMY' OR contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'brand#1') THEN 'kept_consolidator' WHEN contains(lower(p_name), 'part_1 ') THEN 'dropped_treatment_works' WHEN starts_with(lower(p_name), 'part_2') OR contains(lower(p_name), '9') THEN 'dropped_municipal' WHEN regexp_matches(lower(p_name), '3|4') AND NOT contains(lower(p_name || ' ' || p_brand || ' ' || p_type), '5') THEN 'dropped_negative' WHEN p_size % 5 = 0 THEN 'kept_562991' WHEN p_size % 5 = 1 AND contains(lower(p_name || ' ' || p_brand || ' ' || p_type), '8') THEN 'kept_311613_brand' WHEN p_size % 5 = 1 AND contains(lower(p_name || ' ' || p_brand || ' ' || p_type), '6') THEN 'kept_311613_term' WHEN p_size % 5 = 1 AND contains(lower(p_name), '7') THEN 'dropped_311613_meat' WHEN p_size % 5 = 1 THEN 'kept_311613' WHEN p_size % 5 = 2 THEN 'kept_562219' WHEN p_size % 5 = 3 AND contains(lower(p_name || ' ' || p_brand || ' ' || p_type), '5') THEN 'kept_562111_positive' WHEN p_size % 5 = 3 THEN 'dropped_562111' WHEN contains(lower(p_name || ' ' || p_brand || ' ' || p_type), '5') THEN 'kept_positive' ELSE 'dropped_no_signal' END"
+CASCADE_SQL = "CASE WHEN p_type = 'ECONOMY' OR contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'brand#1') THEN 'kept_consolidator' WHEN contains(lower(p_name), 'part_1 ') THEN 'dropped_treatment_works' WHEN starts_with(lower(p_name), 'part_2') OR contains(lower(p_name), '9') THEN 'dropped_municipal' WHEN regexp_matches(lower(p_name), '3|4') AND NOT contains(lower(p_name), '5') THEN 'dropped_negative' WHEN p_size % 5 = 0 THEN 'kept_562991' WHEN p_size % 5 = 1 AND contains(lower(p_name || ' ' || p_brand || ' ' || p_type), '8') THEN 'kept_311613_brand' WHEN p_size % 5 = 1 AND contains(lower(p_name), '6') THEN 'kept_311613_term' WHEN p_size % 5 = 1 AND contains(lower(p_name), '7') THEN 'dropped_311613_meat' WHEN p_size % 5 = 1 THEN 'kept_311613' WHEN p_size % 5 = 2 THEN 'kept_562219' WHEN p_size % 5 = 3 AND contains(lower(p_name), '5') THEN 'kept_562111_positive' WHEN p_size % 5 = 3 THEN 'dropped_562111' WHEN contains(lower(p_name), '5') THEN 'kept_positive' ELSE 'dropped_no_signal' END"
 
 
 def _parts(spark, d):

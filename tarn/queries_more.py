@@ -113,7 +113,7 @@ def verify_promote(spark, d):
 def verify_rerun(spark, d):
     results = verification.promoted(_results(spark, d), NAMES, BRANDS)
     asked = verification.to_rerun(results)
-    second = asked.select("id", F.when(F.col("id") % 6 == 2, "NOT_FOG").otherwise("dunno").alias("classification"), F.lit("again").alias("reason"))
+    second = asked.select("id", F.when(F.col("id") % 6 == 2, "NOT_FOG").otherwise("dunno").alias("classification"), F.lit("again").alias("reason"), F.lit(1).alias("at"))
     return verification.rerun(results, second).select("id", "classification", "reason")
 
 
