@@ -36,11 +36,16 @@ def needles(pattern: str) -> list[str]:
                 runs.append("")
             elif value is not parser.AT_BOUNDARY:
                 runs.append("")
-        # i, k and s have doubles beyond ASCII that a pattern of any case matches too
-        out.append(max((run for r in runs for run in re.split("[iks]", r)), key=len))
+        out.append(max(runs, key=len))
     return out
 
 
+def folded(text: str) -> str:
+    """In lower case, with what a pattern of any case takes for an i or s beyond ASCII made one (k's double is lowered to k)."""
+    text = text.lower()
+    return text if text.isascii() else text.replace("i\u0307", "i").replace("\u0131", "i").replace("\u017f", "s")
+
+
 class Rulebook:
     """literal: patterns are plain texts that may lie anywhere in a text, in any case; else they are regular expressions."""
 
@@ -73,7 +78,7 @@ class Rulebook:
         def find(text: str | None) -> list[int]:
             if text is None:
                 return []
-            can = set(always).union(*met(text.lower()))
+            can = set(always).union(*met(text.lower() if self.literal else folded(text)))
             return sorted(n for n in can if tried is None or tried[n].search(text))
 
         return find
@@ -91,6 +96,10 @@ class Rulebook:
 
         return rules_of(c)
 
+    def labels(self) -> list[str]:
+        """The kinds, each once, in order."""
+        return list(dict.fromkeys(kind for kind, _ in self.rules))
+
     def kinds(self, numbers: Column) -> Column:
         """array<string>: the kinds of rules found, each once, in order."""
         return F.array_distinct(F.transform(numbers, lambda n: self._kind(n)))
