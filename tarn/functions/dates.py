@@ -44,3 +44,9 @@ def kept_in_feed(c: str | Column, now: Column, days: int = 180) -> Column:
 
 def relative_label(d: Column, as_of: Column) -> Column:
     return F.when(d == as_of, "TODAY").when(d == F.date_sub(as_of, 1), "YESTERDAY").otherwise(F.date_format(d, "MMM dd, yyyy"))
+
+
+def shown(c: str | Column) -> Column:
+    """"Jan 5, 2026"; what is no date stays as it is, and nothing is the empty text."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.date_format(iso_date(c), "MMM d, yyyy"), c, F.lit(""))

@@ -159,12 +159,24 @@ def crosstab(results: DataFrame) -> DataFrame:
 
 
 def stratified(rows: DataFrame, quotas: dict[str, int], key: str = "id", seed: int = 42) -> DataFrame:
-    """Of each tier its quota, in the order of a seeded hash."""
+    """Of each tier its quota, in the order of a seeded MD5.
+
+    Ranks above the largest quota are cut off in every task before the shuffle, so a hot tier is no one task's.
+    """
     from pyspark.sql import Window
 
     quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])[F.col("tier")]
-    place = F.row_number().over(Window.partitionBy("tier").orderBy(F.xxhash64(F.lit(seed), F.col(key)), key))
-    return rows.withColumn("_p", place).where(F.col("_p") <= quota).drop("_p")
+    place = F.row_number().over(Window.partitionBy("tier").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key))
+    most = max(quotas.values(), default=0)
+    return rows.where(F.col("tier").isin(*quotas)).withColumn("_p", place).where(F.col("_p") <= most).where(F.col("_p") <= quota).drop("_p")
+
+
+def shortfall(sample: DataFrame, quotas: dict[str, int]) -> DataFrame:
+    """(tier, quota, taken, missing) for every tier with a quota, those that nothing was taken of too."""
+    asked = sample.sparkSession.createDataFrame(list(quotas.items()), "tier string, quota long")
+    taken = sample.groupBy("tier").agg(F.count("*").alias("taken"))
+    out = F.broadcast(asked).join(taken, "tier", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    return out.withColumn("missing", F.col("quota") - F.col("taken"))
 
 
 def repaired(rows: DataFrame, boxes: DataFrame, zips: DataFrame) -> DataFrame:

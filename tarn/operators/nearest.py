@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.geo import haversine_miles
+from tarn.operators.order import placed
 from tarn.sources.scratch import written
 
 #: Plants are sent to every task, to be met there by cell, up to so many rows; beyond that both sides are shuffled by cell.
@@ -115,4 +116,4 @@ def first_hit(layers: list[tuple[DataFrame, str]], term: str) -> DataFrame:
 
 def ranked(rows: DataFrame, *order) -> DataFrame:
     """1-based position in the given order, kept through later filters."""
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return placed(rows, *order).withColumn("rank", F.col("rank").cast("int"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text
 from tarn.operators.nearest import ranked
+from tarn.operators.order import placed
 from tarn.plans import packs
 
 
@@ -40,12 +41,26 @@ def deals_view(deals: DataFrame, deal_type: str = "", year: str = "", target_onl
     return deals.orderBy(key.desc() if descending else key.asc(), "id")
 
 
-def csv_cell(c: Column) -> Column:
-    """Quoted only where a quote, comma or line end asks for it."""
-    c = F.coalesce(c.cast("string"), F.lit(""))
+# The columns of a deal's export, in order.
+EXPORT = ("date", "target", "acquirer", "sponsor", "location", "deal_type", "deal_size", "multiple", "services", "owner_classification", "source", "source_url", "is_target_market", "target_market_name", "deal_summary", "notes")
+
+
+def csv_cell(c: Column, array: bool = False) -> Column:
+    """Quoted only where a quote, comma or line end asks for it; an array's entries are joined by " | "."""
+    c = F.coalesce(F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit(""))), " | ") if array else c.cast("string"), F.lit(""))
     return F.when(c.rlike('["\n,]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
 
 
+def export_lines(shown: DataFrame, *order: Column, columns: tuple[str, ...] = EXPORT) -> DataFrame:
+    """(place, line) of a filtered view's export: the head, 0, and a line a row in the given order. A column that the
+    view lacks is empty."""
+    kinds = dict(shown.dtypes)
+    cells = [csv_cell(F.col(c), kinds[c].startswith("array")) if c in kinds else F.lit("") for c in columns]
+    lines = placed(shown.withColumn("_line", F.concat_ws(",", *cells)), *order, name="place").select("place", F.col("_line").alias("line"))
+    head = shown.sparkSession.createDataFrame([(0, ",".join(columns))], "place long, line string")
+    return head.unionByName(lines)
+
+
 def layer_counts(rows: DataFrame, buckets: list[str], state: str = "") -> DataFrame:
     """Visible rows per bucket, in display order, empty ones left out; rows (bucket, s, vs): refuted ones are hidden."""
     seen = rows.where(F.col("bucket").isin(*buckets) & (F.col("vs").isNull() | (F.col("vs") == "C")))
@@ -68,10 +83,24 @@ def tier(score: Column) -> Column:
     return F.when(score >= 3.5, "A").when(score >= 3.0, "B").otherwise("C")
 
 
-def screener(cities: DataFrame, weights: tuple[float, ...], region: str = "", status: str = "", least: float = 0.0, clear_only: bool = False) -> DataFrame:
-    """cities with score, tier and rank; the rank is the place among all cities, before any filter."""
-    out = cities.withColumn("score", weighted_score(None, weights))
-    out = ranked(out.withColumn("tier", tier(F.col("score"))), F.desc("score"), "id")
+def screener_order(cities: DataFrame, key: str = "rank", descending: bool | None = None) -> list[Column]:
+    """The order of a column: texts in lower case, "rank" by score; names and regions go up unless said, the rest down.
+    Ties stay in the order of ids."""
+    own = "score" if key == "rank" else key
+    c = F.lower(own) if dict(cities.dtypes)[own] == "string" else F.col(own)
+    down = key not in ("name", "region") if descending is None else descending
+    return [c.desc() if down else c.asc(), F.col("id").asc()]
+
+
+def scored(cities: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """cities with score and tier."""
+    return cities.withColumn("score", weighted_score(None, weights)).withColumn("tier", tier(F.col("score")))
+
+
+def screener(cities: DataFrame, weights: tuple[float, ...], region: str = "", status: str = "", least: float = 0.0, clear_only: bool = False, key: str = "rank", descending: bool | None = None) -> DataFrame:
+    """cities with score, tier and rank; the rank is the place among all cities, by any column, before any filter."""
+    out = scored(cities, weights)
+    out = ranked(out, *screener_order(out, key, descending))
     if region:
         out = out.where(F.col("region") == region)
     if status or clear_only:

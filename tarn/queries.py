@@ -511,7 +511,7 @@ def verify_crosstab(spark, d):
     return facilities.crosstab(t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").select(F.col("source").alias("tier"), kind.alias("classification")))
 
 
-@query("verify_stratified_sample")
+@query("verify_stratified_sample", "SELECT id, tier FROM (SELECT doc_id AS id, lang AS tier, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS p FROM documents) WHERE p <= CASE tier WHEN 'en' THEN 75 WHEN 'fr' THEN 50 WHEN 'de' THEN 40 WHEN 'es' THEN 20 END")
 def verify_stratified_sample(spark, d):
     return facilities.stratified(t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("tier")), {"en": 75, "fr": 50, "de": 40, "es": 20})
 
@@ -554,7 +554,7 @@ def density_zip_join(spark, d):
 # screener -----------------------------------------------------------------------------------------------------------
 @query("screener_scores", f"SELECT id, s AS score, CASE WHEN s >= 3.5 THEN 'A' WHEN s >= 3.0 THEN 'B' ELSE 'C' END AS tier FROM (SELECT id, {SCORE_SQL} AS s FROM ({CITY_SQL}))")
 def screener_scores(spark, d):
-    return views.screener(v_city(spark, d), packs.WEIGHTS["collections"]).select("id", "score", "tier")
+    return views.scored(v_city(spark, d), packs.WEIGHTS["collections"]).select("id", "score", "tier")
 
 
 @query("screener_rank", f"SELECT id, rank FROM (SELECT *, row_number() OVER (ORDER BY s DESC, id)::INT AS rank FROM (SELECT *, {SCORE_SQL} AS s FROM ({CITY_SQL}))) WHERE region = 'ASIA' AND s >= 2.0")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tarn.functions import geo, text
-from tarn.operators import audit, curation, geocode, verification, views
+from tarn.functions import dates, geo, text
+from tarn.operators import audit, curation, facilities, geocode, verification, views
+from tarn.operators.order import placed
 from tarn.plans import packs
 from tarn.queries import AS_OF, BOX_SQL, CITY_SQL, CLUSTER_SQL, DEAL_SQL, FACILITY_SQL, MILES_SQL, NEWS_SQL, PLANT_SQL, SCORE_SQL, query, t, v_box, v_city, v_deal, v_facility, v_news, v_plant
 
@@ -273,3 +274,84 @@ def audit_report_whole(spark, d):
         audit.several(pages, {9: F.count_if(F.col("url").isNull() | ~F.col("url").startswith("http")), 12: long(F.sum(curation.occurrences(h, "TBD"))), 13: long(F.sum(curation.occurrences(h, "console.log")))}),
         audit.several(t(spark, d, "nation"), {10: F.greatest(52 - F.count("*"), F.lit(0)), 11: F.max(F.lit(wrong))}), audit.several(t(spark, d, "orders"), {17: F.abs(F.count("*") - 1000)}),
     )
+
+
+# samples, orders and audits by content -----------------------------------------------------------------------------------
+@query("verify_sample_shortfall", "WITH q(tier, quota) AS (VALUES ('en', 75), ('it', 9), ('zz', 5), ('es', 1000000)), n AS (SELECT lang AS tier, count(*) AS n FROM documents GROUP BY lang) SELECT tier, quota::BIGINT AS quota, least(quota, coalesce(n, 0))::BIGINT AS taken, (quota - least(quota, coalesce(n, 0)))::BIGINT AS missing FROM q LEFT JOIN n USING (tier)")
+def verify_sample_shortfall(spark, d):
+    """A million of one language are more than there are, and one language there is none of."""
+    quotas = {"en": 75, "it": 9, "zz": 5, "es": 1_000_000}
+    rows = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("tier"))
+    return facilities.shortfall(facilities.stratified(rows, quotas), quotas)
+
+
+SORTS = (("rank", None), ("rank", False), ("name", None), ("name", True), ("region", None), ("status", None), ("status", False), *((c, None) for c in packs.CRITERIA))
+
+
+@query("screener_orders", " UNION ALL ".join(f"SELECT '{key}' AS sort_key, {str(up).lower()} AS up, id, row_number() OVER (ORDER BY {'s' if key == 'rank' else f'lower({key})' if key in ('name', 'region', 'status') else key} {'ASC' if up else 'DESC'}, id)::INT AS rank FROM (SELECT *, {SCORE_SQL} AS s FROM ({CITY_SQL}))" for key, up in ((k, (k in ('name', 'region')) if down is None else not down) for k, down in SORTS)))
+def screener_orders(spark, d):
+    """The place of each city in every order a table's heads offer."""
+    out, cities = None, v_city(spark, d)
+    for key, down in SORTS:
+        up = key in ("name", "region") if down is None else not down
+        own = views.screener(cities, packs.WEIGHTS["collections"], key=key, descending=down).select(F.lit(key).alias("sort_key"), F.lit(up).alias("up"), "id", "rank")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("order_places", "SELECT o_orderkey AS id, row_number() OVER (ORDER BY lower(o_orderpriority), o_totalprice DESC, o_orderkey) AS place FROM orders")
+def order_places(spark, d):
+    """A whole order whose first column has five values."""
+    return placed(t(spark, d, "orders"), F.lower("o_orderpriority"), F.desc("o_totalprice"), "o_orderkey", name="place").select(F.col("o_orderkey").alias("id"), "place")
+
+
+def _weights(spark, d):
+    parts = t(spark, d, "part").groupBy("p_type", "p_brand").agg(F.count("*").alias("n"))
+    whole = parts.groupBy("p_type").agg(F.sum("n").alias("whole"))
+    share = F.col("n") / F.col("whole") * F.when(F.col("p_type") == "PROMO", 0.5).otherwise(1.0)
+    return parts.join(whole, "p_type").select(F.col("p_type").alias("profile"), F.col("p_brand").alias("criterion"), share.alias("weight"))
+
+
+WEIGHTS_SQL = "SELECT p_type AS profile, p_brand AS criterion, n / whole * CASE WHEN p_type = 'PROMO' THEN 0.5 ELSE 1 END AS weight FROM (SELECT p_type, p_brand, count(*)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY p_type)::DOUBLE AS whole FROM part GROUP BY 1, 2)"
+
+
+@query("screener_weight_totals", f"SELECT profile, round(sum(weight), 9) AS total, abs(sum(weight) - 1) <= 0.001 AS fine FROM ({WEIGHTS_SQL}) GROUP BY profile")
+def screener_weight_totals(spark, d):
+    """Weights of a table: the shares of a type's brands, halved for one type."""
+    return audit.weights_sum(_weights(spark, d))
+
+
+@query("audit_counts", "SELECT 7 AS check_id, 'p_type' AS field, coalesce(p_type, '?') AS value, count(*) AS n FROM part GROUP BY ALL UNION ALL SELECT 7, 'o_orderstatus', coalesce(o_orderstatus, '?'), count(*) FROM orders GROUP BY ALL")
+def audit_counts(spark, d):
+    return audit.counts_by(7, t(spark, d, "part"), "p_type").unionByName(audit.counts_by(7, t(spark, d, "orders"), "o_orderstatus"))
+
+
+META_SQL = "SELECT 'newsCount' AS field, count(DISTINCT doc_id) AS value FROM documents UNION ALL SELECT 'compCount', count(*) + 1 FROM orders"
+
+
+@query("audit_content", f"SELECT 10 AS check_id, n = 0 AS passed, n AS n_bad FROM (SELECT (count(*) FILTER (doc_id IS NULL OR quality IS NULL OR toxic IS NULL) + greatest(52 - count(*), 0))::BIGINT AS n FROM (SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN labels l USING (doc_id))) UNION ALL SELECT 11, n = 0, n FROM (SELECT count(*) FILTER (abs(w - 1) > 0.001) AS n FROM (SELECT sum(weight) AS w FROM ({WEIGHTS_SQL}) GROUP BY profile)) UNION ALL SELECT k, n = 0, n FROM (SELECT 16 AS k, abs((SELECT count(*) FROM documents) - (SELECT max(value) FROM ({META_SQL}) WHERE field = 'newsCount'))::BIGINT AS n UNION ALL SELECT 17, abs((SELECT count(*) FROM orders) - (SELECT max(value) FROM ({META_SQL}) WHERE field = 'compCount'))::BIGINT)")
+def audit_content(spark, d):
+    """Checks 10, 11, 16 and 17 by what tables say: scores of every row, weights, and counts that metadata holds."""
+    docs, orders = t(spark, d, "documents"), t(spark, d, "orders")
+    scored = docs.join(t(spark, d, "labels"), "doc_id", "left")
+    meta = docs.agg(F.count_distinct("doc_id").alias("value")).withColumn("field", F.lit("newsCount")).unionByName(orders.agg((F.count("*") + 1).alias("value")).withColumn("field", F.lit("compCount")))
+    return audit.report(audit.complete(10, scored, ["doc_id", "quality", "toxic"], 52), audit.weights_fine(11, _weights(spark, d)), audit.counted_as(16, docs, meta, "newsCount"), audit.counted_as(17, orders, meta, "compCount"))
+
+
+EXPORTED_SQL = f"SELECT *, 'Sponsor, ' || deal_type AS sponsor, deal_size > 100000 AS is_target_market, [target, 'by ' || acquirer, 'a ' || chr(34) || 'deal' || chr(34)] AS deal_summary, target || chr(10) || 'line' AS notes FROM ({DEAL_SQL}) WHERE date[1:4] = '1998'"
+CELL_SQL = "CASE WHEN regexp_matches({c}, '[\",\\n]') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END"
+EXPORT_CELLS = {"date": "date", "target": "target", "acquirer": "acquirer", "sponsor": "sponsor", "deal_type": "deal_type", "is_target_market": "is_target_market::VARCHAR", "deal_summary": "array_to_string(deal_summary, ' | ')", "notes": "notes"}
+
+
+@query("deal_export_whole", f"SELECT 0 AS place, '{','.join(views.EXPORT)}' AS line UNION ALL SELECT row_number() OVER (ORDER BY date DESC, id), " + " || ',' || ".join(CELL_SQL.format(c=EXPORT_CELLS[c]) if c in EXPORT_CELLS else "''" for c in views.EXPORT) + f" FROM ({EXPORTED_SQL})")
+def deal_export_whole(spark, d):
+    """All sixteen columns of a filtered view, in its order, arrays and quotes in cells; sinks.replaced_file makes a file of it."""
+    deals = v_deal(spark, d).withColumns({"sponsor": F.concat(F.lit("Sponsor, "), "deal_type"), "is_target_market": F.col("deal_size") > 100000, "deal_summary": F.array("target", F.concat(F.lit("by "), "acquirer"), F.lit('a "deal"')), "notes": F.concat("target", F.lit("\nline"))})
+    deals = deals.withColumns({c: F.lit("") for c in ("location", "services")}).drop("deal_size")
+    return views.export_lines(views.deals_view(deals, year="1998"), F.desc("date"), F.asc("id"))
+
+
+@query("deal_dates_shown", f"SELECT id, CASE WHEN id % 10 = 0 THEN 'soon' WHEN id % 10 = 1 THEN '' ELSE strftime(date::DATE, '%b %-d, %Y') END AS shown FROM ({DEAL_SQL})")
+def deal_dates_shown(spark, d):
+    said = F.when(F.col("id") % 10 == 0, "soon").when(F.col("id") % 10 == 1, F.lit(None)).otherwise(F.col("date"))
+    return v_deal(spark, d).select("id", dates.shown(said).alias("shown"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,6 +20,44 @@ def csv_export(df: DataFrame, path: str) -> None:
     flat.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 
 
+#: Lines that one file may have, as one task writes it.
+FILE_LINES = 5_000_000
+
+
+def replaced_file(lines: DataFrame, path: str, most: int = FILE_LINES) -> None:
+    """One text file of lines (place, line), in the order of place, put where an older one may be.
+
+    It is written beside it and then renamed over it, in one step of the file system, so whoever reads sees the old file
+    or the new one, and a run that dies leaves the old one. More than `most` lines are an error; they belong in a folder.
+    """
+    if lines.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} lines are not for one file")
+    spark = lines.sparkSession
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    beside = hadoop.Path(f"{path}.writing-{uuid.uuid4().hex}")
+    files = beside.getFileSystem(conf)
+    try:
+        lines.repartition(1).sortWithinPartitions("place").select("line").write.text(beside.toString())
+        part = next(s.getPath() for s in files.listStatus(beside) if s.getPath().getName().startswith("part-"))
+        overwrite = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        overwrite[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.valueOf("OVERWRITE")
+        hadoop.FileContext.getFileContext(beside.toUri(), conf).rename(part, hadoop.Path(path), overwrite)
+    finally:
+        files.delete(beside, True)
+
+
+def once(spark: SparkSession, manifest: str, name: str, do: Callable[[], None]) -> bool:
+    """do(), unless a manifest folder says that it was done to the end before; says whether it ran."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    mark = hadoop.Path(f"{manifest.rstrip('/')}/{name}")
+    files = mark.getFileSystem(conf)
+    if files.exists(mark):
+        return False
+    do()
+    files.create(mark, True).close()
+    return True
+
+
 def spliced(html: Column, marker: str, inner: Column | str) -> Column:
     """html with what is between <!-- MARKER_START --> and <!-- MARKER_END --> replaced, literally; unchanged without them."""
     m = re.escape(marker)
