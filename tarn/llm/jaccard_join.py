@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm import wordhash
 from tarn.llm.common import checked_broadcast, map_batches, sliced, utf8, written
-from tarn.llm.minhash import _merged, _near, _open, _pair_tasks, _sharing, shingle_sets
+from tarn.llm.minhash import _merged, _near, _pair_tasks, _sharing, shingle_sets
 from tarn.operators.components import components
 
 WIDTH, PERCENT, BLOCK = 5, 80, 64
@@ -255,7 +255,8 @@ def short_lists(texts: DataFrame, known: Frequencies, width: int, percent: int,
 
 def _searched(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) of nodes that are linked, found by searches in tasks of one node and up to BLOCK partners."""
-    rows = _pair_tasks(pairs, BLOCK).join(texts, "node").select("task", "side", "node", "text")
+    tasks = written(_pair_tasks(pairs, BLOCK), "search_tasks")
+    rows = texts.join(checked_broadcast(tasks), "node").select("task", "side", "node", "text")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -271,6 +272,15 @@ def _searched(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return written(rows.groupBy("task").applyInArrow(run, "a long, b long"), "links")
 
 
+def _open_lists(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (bucket, node, ..) of lists that hold several components, with component and `outside`: not in the list's
+    largest one. What is looked up, a row a node and a row an open list, is few beside the members and sent to them."""
+    placed = members.join(checked_broadcast(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    mixed = counts.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("n")).where("n > 1").select("bucket", "main")
+    return written(placed.join(checked_broadcast(written(mixed, "mixed")), "bucket").withColumn("outside", F.col("component") != F.col("main")), "open")
+
+
 def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id."""
     signed = written(_signed(docs, width), "signed")
@@ -281,7 +291,7 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     rows = written(short_lists(texts, frequencies(texts, width, total), width, percent, total), "short_lists")
     shared = rows.groupBy("shingle").agg(F.min(F.struct("node", "size", "rest")).alias("center"), F.max("node").alias("last")).where("center.node != last")
     shared = shared.select("shingle", F.col("center.node").alias("center"), F.col("center.size").alias("center_size"), F.col("center.rest").alias("center_rest"))
-    members = written(rows.join(shared, "shingle"), "lists")
+    members = written(rows.join(checked_broadcast(written(shared, "centers")), "shingle"), "lists")
     enough = lambda a, b: F.least(f"{a}rest", f"{b}rest") * (100 + percent) >= (F.col(f"{a}size") + F.col(f"{b}size")) * percent
     edge = (F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b"))
     pairs = written(members.where((F.col("node") != F.col("center")) & _near(("size", "center_size"), percent) & enough("", "center_")).select(*edge).distinct(), "first_pairs")
@@ -290,12 +300,12 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     links = _searched(pairs, texts, width, percent).unionByName(_same_document(signed, nodes))
     found = written(components(links), "components")
 
-    open_ = _open(members, found)
+    open_ = _open_lists(members, found)
     second = open_.where("not outside").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("o"), "node", "size", "rest")).alias("c")).select("bucket", F.col("c.node").alias("center"), F.col("c.size").alias("center_size"), F.col("c.rest").alias("center_rest"))
     more = open_.where("outside").join(second, "bucket").where(_near(("size", "center_size"), percent) & enough("", "center_")).select(*edge).distinct().join(pairs, ["a", "b"], "left_anti")
     found = _merged(found, _searched(more, texts, width, percent))
 
-    open_ = _open(members, found)
+    open_ = _open_lists(members, found)
     found = _merged(found, _searched(_sharing(open_.withColumnRenamed("bucket", "shingle").drop("main"), percent), texts, width, percent))
     of_set = nodes.select("set_id", "node").join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     out = signed.join(of_set, "set_id", "left")
