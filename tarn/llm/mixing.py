@@ -9,7 +9,8 @@ is exact, from the cells in order of their ratio. A document is drawn when a has
 
 Drawn so, a cell with too few documents is taken whole and falls short of its target, and the others get its tokens.
 repeated() does not fall short: each document comes rate * raked / natural tokens times, the whole part of it always and
-the rest by the same hash. mix() holds the drawn marginals of either against their targets.
+the rest by the same hash. mix() holds the drawn marginals of either against what raking came to and what was asked
+for; largest_gap() tells how far raking is off, as it is where targets contradict each other.
 
 All of it is DataFrame functions in one plan: documents are summed to cells before the shuffle, and only cells, of
 which there are as many as combinations occur, are raked. Cells are broadcast back if there are at most
@@ -139,15 +140,32 @@ def repeated(docs: DataFrame, columns: list[str] | None = None, rate: float = RA
     return out.drop("_probability", "_drawn")
 
 
-def mix(out: DataFrame) -> DataFrame:
-    """(marginal, value, natural, target, drawn): shares of tokens in what mixed() or repeated() gives."""
+def mix(out: DataFrame, temper: float = TEMPER, targets: dict[str, dict[str | None, float]] | None = None) -> DataFrame:
+    """(marginal, value, natural, asked, target, drawn): shares of tokens in what mixed() or repeated() gives.
+
+    `asked` is the target share by temper and targets, which are to be those of the run, and `target` what raking came
+    to. They differ where targets contradict each other or speak of values that no document has, which have a row too.
+    """
     copies = F.col("_copies") if "_copies" in out.columns else F.col("_drawn").cast("long")
     dims = ("_source", "_lang", "_topic")
     cells = written(out.groupBy(*dims).agg(F.sum("_tokens").alias("natural"), F.sum("_weight").alias("target"), F.sum(F.col("_tokens") * copies).alias("drawn")), "mix")
     every = F.explode(F.array(*[F.struct(F.lit(d[1:]).alias("marginal"), F.col(d).alias("value")) for d in dims])).alias("m")
-    sums = cells.select(every, "natural", "target", "drawn").groupBy("m.marginal", "m.value").agg(*[F.sum(c).alias(c) for c in ("natural", "target", "drawn")])
-    share = lambda c: F.round(F.col(c) / F.nullif(F.sum(c).over(Window.partitionBy("marginal")), F.lit(0)), 6).alias(c)
-    return sums.select("marginal", "value", *[share(c) for c in ("natural", "target", "drawn")])
+    sums = cells.select(every, "natural", "target", "drawn").select("m.marginal", "m.value", "natural", "target", "drawn", F.lit(0.0).alias("w"))
+    given = [(d[1:], value, 0, 0.0, 0, float(w)) for d, weights in (targets or {}).items() for value, w in weights.items()]
+    sums = sums.unionByName(out.sparkSession.createDataFrame(given, "marginal string, value string, natural long, target double, drawn long, w double"))
+    sums = sums.groupBy("marginal", "value").agg(*[F.sum(c).alias(c) for c in ("natural", "target", "drawn", "w")])
+    whole = Window.partitionBy("marginal")
+    of = lambda c: c / F.nullif(F.sum(c).over(whole), F.lit(0.0))
+    sums = sums.withColumn("asked", F.when(F.col("marginal").isin(*[d[1:] for d in targets or {}]), F.col("w")).otherwise(F.pow(of(F.col("natural")), F.lit(temper))))
+    return sums.select("marginal", "value", *[F.round(of(F.col(c)), 6).alias(c) for c in ("natural", "asked", "target", "drawn")])
+
+
+def largest_gap(report: DataFrame, tolerance: float | None = None) -> float:
+    """The largest difference of asked and target shares in what mix() gives; above the tolerance an error."""
+    gap = report.agg(F.max(F.abs(F.col("asked") - F.col("target"))).alias("gap")).first()["gap"] or 0.0
+    if tolerance is not None and gap > tolerance:
+        raise ValueError(f"raking leaves a share {gap:.6f} off its target, more than {tolerance}")
+    return gap
 
 
 def oracle(temper: float = TEMPER, rate: float = RATE, seed: str = SEED, sweeps: int = SWEEPS) -> str:

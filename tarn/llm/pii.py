@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -192,8 +193,9 @@ def trained(texts: list[str], seed: int = 5) -> dict[str, Model]:
                 # two of them with a blank between are two
                 one, near, at = text[a:b], text[max(0, a - 32) : a] + text[a:b] + " " + text[a:b] + text[b : b + 16], min(a, 32)
                 rows[kind] += [(features(near, (kind, k, k + len(one))), 1) for k in (at, at + len(one) + 1)]
+        taken = Taken(base)
         for kind, a, b in candidates(text):
-            if not any(a < e and s < b for _, s, e in base):
+            if not taken.meets((kind, a, b)):
                 rows[kind].append((features(text, (kind, a, b)), 0))
     out = {}
     for kind, some in rows.items():
@@ -214,21 +216,45 @@ def trained(texts: list[str], seed: int = 5) -> dict[str, Model]:
     return out
 
 
+class Taken:
+    """Stretches of a text, apart from each other and in order, that are asked for overlaps."""
+
+    def __init__(self, spans: list[Span] = ()):
+        self.begins, self.ends = [], []
+        for begin, end in sorted((a, b) for _, a, b in spans):
+            if self.ends and begin < self.ends[-1]:
+                self.ends[-1] = max(end, self.ends[-1])
+            else:
+                self.begins.append(begin)
+                self.ends.append(end)
+
+    def meets(self, span: Span) -> bool:
+        at = bisect_right(self.ends, span[1])  # the first that ends behind the span's begin
+        return at < len(self.begins) and self.begins[at] < span[2]
+
+    def add(self, span: Span) -> None:
+        """span meets none."""
+        at = bisect_left(self.begins, span[1])
+        self.begins.insert(at, span[1])
+        self.ends.insert(at, span[2])
+
+
 def all_spans(text: str, models: dict[str, Model]) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans; both by start, then kind as listed."""
     by = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(base_spans(text), key=by)
-    scored = []
-    open_ = [x for x in candidates(text) if x[0] in models and not any(x[1] < e and s < x[2] for _, s, e in base)]
+    scored, taken = [], Taken(base)
+    open_ = [x for x in candidates(text) if x[0] in models and not taken.meets(x)]
     for kind in KINDS:
         some = [x for x in open_ if x[0] == kind]
         if some:
             p = models[kind].probability(np.array([features(text, x) for x in some], float))
             scored += [(-float(q), by(x), x) for q, x in zip(p, some, strict=True) if q >= models[kind].threshold]
-    added: list[Span] = []
+    added, chosen = [], Taken()
     for _, _, span in sorted(scored):
-        if not any(span[1] < e and s < span[2] for _, s, e in added):
+        if not chosen.meets(span):
             added.append(span)
+            chosen.add(span)
     return base, sorted(base + added, key=by)
 
 
