@@ -3,65 +3,127 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.geo import haversine_miles
 from tarn.operators.order import placed
 from tarn.sources.scratch import written
 
-#: Plants are sent to every task, to be met there by cell, up to so many rows; beyond that both sides are shuffled by cell.
+#: Cells of the tree go to every task while plants are at most so many; beyond that both sides are shuffled by cell.
 BROADCAST_ROWS = 20_000
-#: Miles a degree of a great circle, rounded up, and the height of the coarse cells, of which the globe has 46 x 90.
-DEGREE, COARSE = 69.2, 4
-
-
-def with_nearest(rows: DataFrame, plants: DataFrame, key: str = "id", cell: float = 1.0, rings: tuple[int, ...] = (1, 4)) -> DataFrame:
-    """rows (key, lat, lng, ...) with np, nd: id and miles of the nearest of plants (id, lat, lng), ties to the smallest id.
-
-    Rows meet plants cell by cell in growing squares; a nearest found within what a square surely covers is right, the
-    rest go on. Whoever is open after the last square looks up the occupied coarse cells, at most 46 x 90 whatever the
-    number of plants: no plant of a cell is nearer than its centre less the cell's radius, so only cells that the
-    nearest centre doesn't rule out are joined. No side is ever joined with all of the other, and size changes nothing
-    but how the join by cell is done. A cell's height has to go into 360 degrees a whole number of times. Plants
-    without coordinates or off the globe take no part; rows without coordinates, and all rows where there are no
-    plants, have null.
+#: Rows of one key, beyond which a join by key deals them to several tasks; there are at most rows / HOT_ROWS such keys.
+HOT_ROWS = 100_000
+#: Miles a degree of a great circle, rounded up.
+DEGREE = 69.2
+#: Degrees that a cell of the tree's top is high, how many cells of the next level lie along its side, levels, and how
+#: many plants a cell holds before it is split.
+TOP, SPLIT, LEVELS, LEAF = 16.0, 4, 10, 64
+
+
+def spread(left: DataFrame, right: DataFrame, keys: list[str], by: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join by keys with a column _part to join by as well: a key with more than HOT_ROWS rows on the
+    left has these dealt, by the hash of column `by`, to as many parts as it takes, each with all of the key's right rows."""
+    hot = written(left.groupBy(*keys).count().where(F.col("count") > HOT_ROWS).withColumn("_parts", F.ceil(F.col("count") / HOT_ROWS).cast("int")).drop("count"), "hot_keys")
+    if hot.isEmpty():
+        return left.withColumn("_part", F.lit(0)), right.withColumn("_part", F.lit(0))
+    hot = F.broadcast(hot)
+    left = left.join(hot, keys, "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int")))
+    right = right.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    return left.drop("_parts"), right.drop("_parts")
+
+
+def _cells(lat: Column, lng: Column, level: int) -> dict[str, Column]:
+    height = TOP / SPLIT**level  # a power of two, so that a cell lies in one of the level above
+    return {"cy": F.floor(lat / height), "cx": F.floor((lng + 180.0) / height)}
+
+
+def cell_tree(plants: DataFrame) -> list[DataFrame]:
+    """The levels of a tree of cells over plants (np, p_lat, p_lng): (cy, cx, holds) with an array of structs (np, p_lat,
+    p_lng, cy, cx), which are a leaf's plants or an inner cell's occupied parts.
+
+    A cell with more than LEAF plants is split into SPLIT x SPLIT, so where plants are dense cells are small; no array
+    follows the number of plants. Cells of the last level are cut into several rows instead.
     """
-    filed = plants.select(F.col("id").alias("np"), F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"))
-    filed = filed.where("p_lat between -90 and 90 and p_lng between -180 and 180")
-    if plants.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        filed = filed.hint("broadcast")
-    d = haversine_miles(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))
+    todo, levels = plants, []
+    for level in range(LEVELS):
+        todo = todo.withColumns(_cells(F.col("p_lat"), F.col("p_lng"), level))
+        counts = written(todo.groupBy("cy", "cx").count(), "cells")
+        full = F.col("count") > (LEAF if level < LEVELS - 1 else 1 << 62)
+        chunk = F.pmod(F.xxhash64("np", "p_lat", "p_lng"), F.ceil(F.col("count") / LEAF))
+        held = F.struct("np", "p_lat", "p_lng", F.lit(None).cast("long").alias("cy"), F.lit(None).cast("long").alias("cx"))
+        nodes = todo.join(counts.where(~full), ["cy", "cx"]).groupBy("cy", "cx", chunk).agg(F.collect_list(held).alias("holds")).select("cy", "cx", "holds")
+        inner = counts.where(full).select("cy", "cx")
+        if inner.isEmpty():
+            levels.append(written(nodes, "tree"))
+            break
+        todo = written(todo.join(inner, ["cy", "cx"], "left_semi"), "dense_plants")
+        lower = _cells(F.col("p_lat"), F.col("p_lng"), level + 1)
+        parts = todo.select("cy", "cx", F.struct(*[F.lit(None).cast(plants.schema[c].dataType).alias(c) for c in ("np", "p_lat", "p_lng")], lower["cy"].alias("cy"), lower["cx"].alias("cx")).alias("part"))
+        nodes = nodes.unionByName(parts.distinct().groupBy("cy", "cx").agg(F.collect_list("part").alias("holds")))
+        levels.append(written(nodes, "tree"))
+    return levels
+
+
+def _bounds(level: int) -> Callable[[Column], Column]:
+    """Of what a cell holds, plants or cells of the level, the least and most miles to a plant from (lat, lng)."""
+    height = TOP / SPLIT**level
+    radius = height * 0.5 * math.sqrt(2) * DEGREE  # no point of a cell is farther from its middle
+
+    def of(c: Column) -> Column:
+        plant = haversine_miles(F.col("lat"), F.col("lng"), c["p_lat"], c["p_lng"])
+        middle = haversine_miles(F.col("lat"), F.col("lng"), (c["cy"] + 0.5) * height, (c["cx"] + 0.5) * height - 180.0)
+        low, high = (F.when(c["cy"].isNull(), plant).otherwise(middle + r) for r in (-radius, radius))
+        return F.struct(low.alias("low"), high.alias("high"), c["np"].alias("np"), c["cy"].alias("cy"), c["cx"].alias("cx"))
+
+    return of
+
+
+def with_nearest(rows: DataFrame, plants: DataFrame, key: str = "id") -> DataFrame:
+    """rows (key, lat, lng, ...) with np, nd: id and miles of the nearest of plants (id, lat, lng), ties to the smallest id.
 
-    def cells(lat: Column, lng: Column, height: float) -> dict[str, Column]:
-        # columns of cells go round the globe
-        return {"cy": F.floor(lat / height), "cx": F.pmod(F.floor((lng + 180.0) / height), F.lit(round(360 / height)))}
+    Rows go down a tree of cells (cell_tree): at each level a row keeps those cells and plants that can be nearer than
+    the farthest point of its nearest occupied cell, so a row meets few plants wherever it is and however dense they
+    are. Of the top level there are at most 12 x 23 cells, in one broadcast row. Below it cells are joined by key, where
+    a cell that many rows ask for is dealt to several tasks (spread). Rows that repeat are looked up once.
 
-    def reduced(asked: DataFrame, height: float) -> DataFrame:
-        pairs = asked.join(filed.withColumns(cells(F.col("p_lat"), F.col("p_lng"), height)), ["cy", "cx"])
-        best = pairs.groupBy("_at").agg(F.min(F.struct(d.alias("nd"), F.col("np"))).alias("best"))
-        return best.select("_at", F.col("best.np").alias("np"), F.col("best.nd").alias("nd"))
+    Plants without coordinates or off the globe take no part, of plants at one place the smallest id counts. Rows
+    without coordinates, and all rows where there are no plants, have null.
+    """
+    # plants without an id are nobody's nearest only where others are as near, as a null sorts first
+    filed = plants.select(F.col("id").alias("np"), F.col("lat").cast("double").alias("p_lat"), F.col("lng").cast("double").alias("p_lng"))
+    filed = written(filed.where("p_lat between -90 and 90 and p_lng between -180 and 180").groupBy("p_lat", "p_lng").agg(F.min("np").alias("np")), "plants")
+    few = filed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    tree = cell_tree(filed)
 
     # rows that share a key, or have none, are told apart by where they are
     at = F.struct(F.col(key).alias("key"), F.col("lat").alias("lat"), F.col("lng").alias("lng"))
-    todo, found = written(rows.select(at.alias("_at"), "lat", "lng").where("lat is not null and lng is not null").distinct(), "places"), []
-    for ring in rings:
-        reach = F.sequence(F.lit(-ring), F.lit(ring))
-        asked = todo.withColumns(cells(F.col("lat"), F.col("lng"), cell)).withColumn("dy", F.explode(reach)).withColumn("dx", F.explode(reach))
-        asked = asked.withColumns({"cy": F.col("cy") + F.col("dy"), "cx": F.pmod(F.col("cx") + F.col("dx"), F.lit(round(360 / cell)))})
-        covered = ring * cell * 69.0 * F.cos(F.radians(F.least(F.abs("lat") + (ring + 1) * cell, F.lit(89.0))))
-        sure = written(todo.join(reduced(asked, cell), "_at").where(F.col("nd") <= covered).select("_at", "np", "nd"), "nearest")
-        found.append(sure)
-        todo = written(todo.join(sure, "_at", "left_anti"), "open_places")
-    occupied = filed.select(*[c.alias(n) for n, c in cells(F.col("p_lat"), F.col("p_lng"), COARSE).items()]).distinct().agg(F.collect_list(F.struct("cy", "cx")).alias("_cells"))
-    centre = lambda c: haversine_miles(F.col("lat"), F.col("lng"), (c["cy"] + 0.5) * COARSE, (c["cx"] + 0.5) * COARSE - 180.0)
-    seen = todo.join(F.broadcast(occupied)).withColumn("_cells", F.transform("_cells", lambda c: F.struct(centre(c).alias("d"), c["cy"].alias("cy"), c["cx"].alias("cx"))))
-    within = F.array_min("_cells")["d"] + 2 * COARSE * 0.5 * math.sqrt(2) * DEGREE
-    asked = seen.withColumn("_within", within).withColumn("c", F.explode(F.filter("_cells", lambda c: c["d"] <= F.col("_within")))).select("_at", "lat", "lng", "c.cy", "c.cx")
-    found.append(reduced(asked, COARSE))
-    return rows.withColumn("_at", at).join(reduce(DataFrame.unionByName, found), "_at", "left").select(*rows.columns, "np", "nd")
+    places = rows.select(at.alias("_at"), "lat", "lng").where("lat is not null and lng is not null").distinct()
+    top = tree[0].select(F.struct(F.lit(None).cast(filed.schema["np"].dataType).alias("np"), F.lit(None).cast("double").alias("p_lat"), F.lit(None).cast("double").alias("p_lng"), "cy", "cx").alias("c")).distinct().agg(F.collect_list("c").alias("holds"))
+    open_, found = places.join(F.broadcast(top)).withColumn("_within", F.lit(float("inf"))), []
+    for level in range(len(tree) + 1):
+        # within one cell first, then over all of a row's cells; a thousandth of a mile covers rounding
+        seen = open_.withColumn("_c", F.transform("holds", _bounds(level))).withColumn("_within", F.least("_within", F.array_min(F.transform("_c", lambda c: c["high"]))))
+        seen = seen.withColumn("_c", F.explode(F.filter("_c", lambda c: c["low"] <= F.col("_within") + 0.001)))
+        if level:  # at the top a row has one array
+            seen = seen.withColumn("_within", F.min("_within").over(Window.partitionBy("_at"))).where(F.col("_c.low") <= F.col("_within") + 0.001)
+        seen = written(seen.select("_at", "lat", "lng", "_within", "_c.low", "_c.np", "_c.cy", "_c.cx"), "open_places")
+        best = seen.where("cy is null").groupBy("_at").agg(F.min(F.struct(F.col("low").alias("nd"), F.col("np"))).alias("best"))
+        found.append(best)
+        if level == len(tree):
+            break
+        asked, nodes = seen.where("cy is not null").select("_at", "lat", "lng", "_within", "cy", "cx"), tree[level]
+        if few:
+            open_ = asked.join(F.broadcast(nodes), ["cy", "cx"])
+        else:
+            asked, nodes = spread(asked, nodes, ["cy", "cx"], "_at")
+            open_ = asked.join(nodes, ["cy", "cx", "_part"]).drop("_part")
+        open_ = open_.drop("cy", "cx")
+    nearest = reduce(DataFrame.unionByName, found).groupBy("_at").agg(F.min("best").alias("best")).select("_at", F.col("best.np").alias("np"), F.col("best.nd").alias("nd"))
+    return rows.withColumn("_at", at).join(nearest, "_at", "left").select(*rows.columns, "np", "nd")
 
 
 def nearest_market(rows: DataFrame, markets: DataFrame, miles: float = 50, most: int = 10_000) -> DataFrame:
@@ -81,6 +143,7 @@ def pairs_within(rows: DataFrame, others: DataFrame, miles: float, cell_miles: f
     """(a, b, miles) of rows (id, lat, lng) and others within the radius, blocked by cells of that height.
 
     Cells go round the globe and are as wide as the radius at 80 degrees of latitude; rows nearer to a pole are not for it.
+    The rows of a dense cell are dealt to several tasks (spread).
     """
     step = (cell_miles or miles) / 69.0
     around = max(3, int(360 * 0.1736 / step))  # cells of at least that width
@@ -89,7 +152,8 @@ def pairs_within(rows: DataFrame, others: DataFrame, miles: float, cell_miles: f
     left = left.withColumns({"cy": F.floor(F.col("lat") / step) + F.col("dy"), "cx": F.pmod(column(F.col("lng")) + F.col("dx"), F.lit(around))})
     right = others.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2")).withColumns({"cy": F.floor(F.col("lat2") / step), "cx": F.pmod(column(F.col("lng2")), F.lit(around))})
     d = haversine_miles(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2"))
-    return left.join(right, ["cy", "cx"]).where(d <= miles).select("a", "b", d.alias("miles"))
+    left, right = spread(left, right, ["cy", "cx"], "a")
+    return left.join(right, ["cy", "cx", "_part"]).where(d <= miles).select("a", "b", d.alias("miles"))
 
 
 def within_radius(rows: DataFrame, others: DataFrame, miles: float, cell_miles: float | None = None) -> DataFrame:
