@@ -11,6 +11,7 @@ from tarn.functions import geo, text
 from tarn.plans import fixed, packs, rules
 from tarn.plans.rulebook import Rulebook
 from tarn.plans.rules import Rule, contains_any, matches, starts_with_any
+from tarn.sources.scratch import sent_if_small
 
 
 def cascade(pack: packs.FacilityPack = packs.FACILITY, name: str = "n", operator: str = "op", owner: str = "ot", code: str = "ct", naics: str = "na") -> Column:
@@ -182,7 +183,7 @@ def shortfall(sample: DataFrame, quotas: dict[str, int]) -> DataFrame:
 def repaired(rows: DataFrame, boxes: DataFrame, zips: DataFrame) -> DataFrame:
     """rows (.., s, z, lat, lng) with coordinates out of their state's box set to the ZIP's point, if that is inside, or
     to the box's middle; `fix` says which. boxes (s, south, north, west, east) and zips (zip, z_lat, z_lng)."""
-    r = rows.join(F.broadcast(boxes), "s", "left").withColumn("zip", text.first_zip("z")).join(zips, "zip", "left")
+    r = rows.join(sent_if_small(boxes), "s", "left").withColumn("zip", text.first_zip("z")).join(zips, "zip", "left")
     box = [F.col(c) for c in ("south", "north", "west", "east")]
     fine = geo.in_box(F.col("lat"), F.col("lng"), *box)
     by_zip = F.col("z_lat").isNotNull() & geo.in_box(F.col("z_lat"), F.col("z_lng"), *box)

@@ -6,6 +6,17 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: Rows up to which a table goes to every task.
+SENT_ROWS = 200_000
+
+
+def sent_if_small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df to be broadcast if it has at most `most` rows by count, else as it is, to be joined by shuffle."""
+    most = SENT_ROWS if most is None else most
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def shared_dir(spark: SparkSession) -> str:
