@@ -12,7 +12,7 @@ from tarn.plans import packs
 from tarn.sources.scratch import shared_dir, written
 
 #: Characters of a posted gram, folders of postings, and how many terms one search may have, as they are sent to every task.
-GRAM, PARTS, TERMS = 3, 256, 10_000
+GRAM, PARTS, TERMS = 3, 32, 10_000
 
 
 @dataclass
