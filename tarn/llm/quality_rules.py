@@ -1,23 +1,37 @@
 """Quality rules with compression bands: zstandard ratios of whole documents and of fixed chunks.
 
 The base rules count words, symbols, repeated lines and repeated windows of words. The bands then compare compressed
-with plain size: text that shrinks far more than prose of its length is repetitive, text that hardly shrinks is noise.
-The ratio falls with length, so each class of a quarter octave has limits of its own, a margin beyond clean prose.
+with plain size: text that shrinks far more than the corpus's text of its length is repetitive, text that hardly
+shrinks is noise. The ratio falls with length, so each class of a quarter octave has limits of its own, apart for each
+quarter of bytes outside ASCII, as scripts of several bytes a character shrink otherwise.
+
+The limits come from the corpus itself, labels unseen: `fitted` takes the quartiles of the ratios of all texts and
+chunks that pass the base, equal ones counted once, so that copies don't weigh. The lower limit lies REACH times the
+lower quartile's distance under the median (3.4 deviations of a normal law), but at LEAST of the median, as text that
+shrinks twice as far as usual is repetitive however wide a class spreads; the upper one lies as far above, or by
+LEAST_UPPER of the median if that is more: noise stands well apart from text (hexadecimal digits, the mildest, take 14%
+more), while another language in the corpus may lie a little above. With n texts in a class, median and distances are
+means of its own, weighing n, and those of general prose (`expected`), weighing PRIOR_TEXTS, so that rare classes have
+wide limits.
+
 Every chunk of CHUNK_BYTES is held against the limits of its own size, so that a repetitive or random stretch of a long
 document is seen; a document is rejected when a chunk is out of band.
 
-Null and empty texts have no words and fail the base. Any length is handled whole. Rows are independent, so ties and
-repeated rows don't matter; an empty table gives an empty result; extra columns are passed over (or, in
-kept_documents, kept as they are).
+Null and empty texts have no words and fail the base. Any length is handled whole. Given the limits rows are
+independent, so ties and repeated rows don't matter; an empty table gives an empty result; extra columns are passed over
+(or, in kept_documents, kept as they are).
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm import wordhash
@@ -25,50 +39,78 @@ from tarn.llm.common import map_batches, steps, utf8
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 CHUNK_BYTES, LEVEL = 8192, 1
-#: (bytes below which the class ends, least and most of compressed / plain size); within a class the limits are fixed.
-#: Least and most of clean prose (label 1, base passed; whole texts and chunks) of the class and a few bytes to either
-#: side, 0.004 beyond (0.02 in classes with under 50 of them), over the even doc_ids of sf0.1 and check_s.
-BANDS = (
-    (64, 0.878, 2.804), (76, 0.878, 1.157), (91, 0.8, 1.133), (108, 0.778, 1.099), (128, 0.751, 1.093),
-    (152, 0.692, 0.962), (181, 0.65, 0.879), (215, 0.619, 0.867), (256, 0.608, 0.793), (304, 0.595, 0.774),
-    (362, 0.594, 0.752), (431, 0.562, 0.752), (512, 0.553, 0.729), (609, 0.529, 0.699), (724, 0.508, 0.676),
-    (861, 0.501, 0.658), (1024, 0.492, 0.64), (1218, 0.483, 0.63), (1448, 0.479, 0.606), (1722, 0.466, 0.604),
-    (2048, 0.466, 0.588), (2435, 0.463, 0.568), (2896, 0.457, 0.552), (3444, 0.45, 0.538), (4096, 0.446, 0.523),
-    (4871, 0.442, 0.523), (5793, 0.434, 0.503), (6889, 0.43, 0.495), (8192, 0.423, 0.481), (9742, 0.418, 0.476),
-    (11585, 0.417, 0.465), (13777, 0.413, 0.451), (1 << 62, 0.412, 0.467),
-)
+REACH, LEAST_UPPER, LEAST = 5.0, 0.12, 0.5
+PRIOR_TEXTS = 20
+#: Distances of the quartiles of general prose from its median, as shares of it.
+PRIOR_LOWER, PRIOR_UPPER = 0.08, 0.05
+#: Ratios are counted in steps of 1 / STEP.
+STEP = 10_000
+Limits = dict[int, tuple[float, float]]
 SYMBOLS = b"#*$%&|<>"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]")
 _CONTINUES = bytes(range(128, 192))
 _SPACES = bytes([32, *range(9, 14)])
 
 
-def band(size: int) -> tuple[float, float]:
-    return next((low, high) for end, low, high in BANDS if size < end)
+_HIGH = bytes(range(128, 256))
+
+
+def class_of(data: bytes) -> int:
+    """The quarter octave of the size, times four, and the quarter of the share of bytes outside ASCII."""
+    outside = len(data) - len(data.translate(None, _HIGH))
+    return 4 * int(4 * math.log2(len(data))) + min(3, 4 * outside // len(data))
+
+
+def expected(size: float) -> float:
+    """The median ratio of general prose of a size, as licences and manuals have it at level 1."""
+    return 0.33 + 3 * size**-0.37
+
+
+def limits_of(kind: int, n: int = 0, lower: float = 0.0, median: float = 0.0, upper: float = 0.0) -> tuple[float, float]:
+    """Least and most ratio of a class in which n texts have these quartiles."""
+    usual, own = expected(2 ** ((kind // 4 + 0.5) / 4)), n / (n + PRIOR_TEXTS)
+    below = own * (median - lower) + (1 - own) * PRIOR_LOWER * usual
+    above = own * (upper - median) + (1 - own) * PRIOR_UPPER * usual
+    middle = own * median + (1 - own) * usual
+    return max(middle - REACH * below, LEAST * middle), middle + max(REACH * above, LEAST_UPPER * middle)
 
 
 class Compressor:
-    def __init__(self, level: int = LEVEL):
+    """Ratios and verdicts under given limits; classes that these don't hold have those of general prose."""
+
+    def __init__(self, limits: Limits | None = None, level: int = LEVEL):
         import zstandard
 
         self._one = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
+        self._limits = limits or {}
 
     def ratio(self, data: bytes) -> float:
         return len(self._one.compress(data)) / len(data)
 
+    def within(self, data: bytes, ratio: float) -> bool:
+        kind = class_of(data)
+        low, high = self._limits.get(kind) or limits_of(kind)
+        return low <= ratio <= high
+
     def verdict(self, data: bytes) -> tuple[float, float, bool]:
         """The ratio of the whole, the share of chunks out of band, and whether the document is within its bands."""
         if not data:
             return 1.0, 0.0, True
         whole = self.ratio(data)
-        low, high = band(len(data))
-        chunks = [data[k : k + CHUNK_BYTES] for k in range(0, len(data), CHUNK_BYTES)] if len(data) > CHUNK_BYTES else []
-        out = 0
-        for chunk in chunks:
-            least, most = band(len(chunk))
-            out += not least <= self.ratio(chunk) <= most
-        share = out / len(chunks) if chunks else 0.0
-        return whole, share, low <= whole <= high and not out
+        held = [self.within(x, self.ratio(x)) for x in chunks(data)]
+        share = held.count(False) / len(held) if held else 0.0
+        return whole, share, self.within(data, whole) and all(held)
+
+
+def chunks(data: bytes) -> Iterator[bytes]:
+    """The chunks of a text of more than one."""
+    if len(data) > CHUNK_BYTES:
+        for k in range(0, len(data), CHUNK_BYTES):
+            yield data[k : k + CHUNK_BYTES]
+
+
+def base_fails(n_words: int, n_repeats: int) -> bool:
+    return n_words < MIN_WORDS or 100 * n_repeats > MAX_REPEAT_PERCENT * n_words
 
 
 def repeated_words(hashes: np.ndarray) -> int:
@@ -103,7 +145,7 @@ def measured(texts: list[bytes], compressor: Compressor) -> dict[str, list]:
         hashes, first = wordhash.words(some)
         for k, text in enumerate(some):
             n, repeats = int(first[k + 1] - first[k]), repeated_words(hashes[first[k] : first[k + 1]])
-            failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
+            failed = base_fails(n, repeats)
             ratio, share, fine = compressor.verdict(text)
             row = (n, len(text.translate(None, _CONTINUES + _SPACES)), len(text) - len(text.translate(None, SYMBOLS)), repeated_lines(text), repeats, failed, ratio, share, fine and not failed)
             for name, value in zip(out, row, strict=True):
@@ -114,12 +156,51 @@ def measured(texts: list[bytes], compressor: Compressor) -> dict[str, list]:
 _TYPES = {"base_failed": pa.bool_(), "kept": pa.bool_(), "ratio": pa.float64(), "chunks_out": pa.float64()}
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, the counts, base_failed, the whole's ratio, the share of chunks out of band, and kept."""
+def ratios(docs: DataFrame) -> DataFrame:
+    """A row for each text that passes the base, and for each of its chunks: hash, class, and ratio in steps."""
     held: list[Compressor] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         held or held.append(Compressor())
+        out: tuple[list, list, list] = [], [], []
+        texts = utf8(batch.column(0))
+        for begin, end in steps(texts, 1 << 20):
+            hashes, first = wordhash.words(texts[begin:end])
+            for k, text in enumerate(texts[begin:end]):
+                mine = hashes[first[k] : first[k + 1]]
+                if base_fails(len(mine), repeated_words(mine)):
+                    continue
+                for x in (text, *chunks(text)):
+                    row = int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True), class_of(x), int(STEP * held[0].ratio(x))
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["hash", "kind", "step"])
+
+    return map_batches(docs.select("text"), run, "hash long, kind int, step int")
+
+
+def fitted(docs: DataFrame) -> Limits:
+    """Limits of every class of docs, from the quartiles of all ratios of different texts and chunks.
+
+    Ratios are counted in steps before any class is gathered, so a class is some thousand counts at any size of the
+    corpus; what comes to the driver is a row a class, some hundred of them.
+    """
+    counts = ratios(docs).distinct().groupBy("kind", "step").agg(F.count("*").alias("n"))
+    upto = counts.select("kind", "step", F.sum("n").over(Window.partitionBy("kind").orderBy("step")).alias("upto"), F.sum("n").over(Window.partitionBy("kind")).alias("n"))
+    quartile = [F.min(F.when(4 * F.col("upto") >= q * F.col("n"), F.col("step"))) / STEP for q in (1, 2, 3)]
+    rows = upto.groupBy("kind").agg(F.max("n").alias("n"), *(c.alias(x) for c, x in zip(quartile, ("lower", "median", "upper"), strict=True)))
+    return {r["kind"]: limits_of(**r.asDict()) for r in rows.collect()}
+
+
+def quality(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """Per row: doc_id, the counts, base_failed, the whole's ratio, the share of chunks out of band, and kept.
+
+    The limits are fitted to docs unless given."""
+    limits = fitted(docs) if limits is None else limits
+    held: list[Compressor] = []
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held or held.append(Compressor(limits))
         found = measured(utf8(batch.column(1)), held[0])
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, _TYPES.get(k, pa.int64())) for k, v in found.items())], names=["doc_id", *found])
 
@@ -127,12 +208,13 @@ def quality(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
+def kept_documents(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns; the limits are fitted to docs unless given."""
+    limits = fitted(docs) if limits is None else limits
     held, place = [], docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        held or held.append(Compressor())
+        held or held.append(Compressor(limits))
         return batch.filter(pa.array(measured(utf8(batch.column(place)), held[0])["kept"], pa.bool_()))
 
     return map_batches(docs, run, docs.schema)
