@@ -24,8 +24,7 @@ def facility_search_terms(spark, d):
     for c in (F.substring("p_name", 1, 2), F.substring("p_name", 2, 6), F.col("p_name")):
         terms = terms.union(t(spark, d, "part").select(c))
     terms = terms.union(t(spark, d, "customer").select("c_mktsegment"))
-    index = search.name_index([(plants, "plant"), (operators, "operator"), (works, "works")], tuple(reversed(packs.BUCKETS)))
-    return search.first_hits(index, terms.distinct())
+    return search.first_hits_of_all([(plants, "plant"), (operators, "operator"), (works, "works")], terms.distinct(), tuple(reversed(packs.BUCKETS)))
 
 
 STATES = {"ohio": "OH", "new york": "NY", "york": "YK"}

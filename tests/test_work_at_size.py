@@ -3,7 +3,7 @@
 import datetime
 import random
 
-from tarn.operators import ingest
+from tarn.operators import ingest, search
 
 
 def moved(spark, run):
@@ -44,3 +44,22 @@ def test_coverage_asks_a_question_once(spark):
     many = [(k, "acme", "north", day(k % 9)) for k in range(3000)]
     out, rows = moved(spark, lambda: ingest.covered_deals(frame(many, "target", "acquirer"), frame(many, "headline", "summary")).count())
     assert out == 3000 and rows < 100_000
+
+
+def test_many_terms_are_searched_in_one_pass(spark):
+    n = search.TERMS + 500
+    plants = spark.range(n).selectExpr("id", "concat('Plant ', lpad(id, 6, '0')) AS name")
+    terms = spark.range(n).selectExpr("lpad(id, 5, '0') AS term")
+    got = {r["term"]: r["id"] for r in search.first_hits_of_all([(plants, "plant")], terms).collect()}
+    want = {}
+    for k in range(n):
+        for i in range(2):
+            want.setdefault(f"{k:06d}"[i : i + 5], k)
+    assert got == {t: k for t, k in want.items() if int(t) < n}
+
+
+def test_bulk_search_is_that_of_the_index(spark):
+    layers = [(spark.createDataFrame([(k, f"Plant {k} Works") for k in range(30)] + [(99, None), (98, "")], "id long, name string"), "plant"), (spark.createDataFrame([(k, f"Oper {k} works", ("PE", "LOC", None)[k % 3]) for k in range(30)], "id long, name string, bucket string"), "operator")]
+    terms = spark.createDataFrame([(x,) for x in ["WORKS", " plant 7 ", "oper 2", "r 29", "7", "9 ", "zz", "zebra", "r 4 w", "", None, "works"]], "term string")
+    one = search.first_hits(search.name_index(layers, ("LOC", "PE")), terms)
+    assert sorted(search.first_hits_of_all(layers, terms, ("LOC", "PE")).collect()) == sorted(one.collect()) and one.count() >= 6
