@@ -3,7 +3,7 @@
 import datetime
 import random
 
-from tarn.operators import ingest, search
+from tarn.operators import geocode, ingest, search
 
 
 def moved(spark, run):
@@ -63,3 +63,11 @@ def test_bulk_search_is_that_of_the_index(spark):
     terms = spark.createDataFrame([(x,) for x in ["WORKS", " plant 7 ", "oper 2", "r 29", "7", "9 ", "zz", "zebra", "r 4 w", "", None, "works"]], "term string")
     one = search.first_hits(search.name_index(layers, ("LOC", "PE")), terms)
     assert sorted(search.first_hits_of_all(layers, terms, ("LOC", "PE")).collect()) == sorted(one.collect()) and one.count() >= 6
+
+
+def test_places_too_many_to_be_sent_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr("tarn.sources.scratch.SENT_ROWS", 2)
+    places = spark.range(10).selectExpr("concat('T', id, ', OH') AS place", "double(id) AS lat", "0D AS lng")
+    out = geocode.geocoded(spark.range(10).selectExpr("id", "concat('T', id, ', OH') AS location"), places, {"ohio": "OH"})
+    assert "BroadcastHashJoin [place" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["lat"] for r in out.collect()} == {k: float(k) for k in range(10)}
