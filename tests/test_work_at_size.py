@@ -3,7 +3,10 @@
 import datetime
 import random
 
-from tarn.operators import geocode, ingest, search
+from pyspark.sql import functions as F
+
+from tarn.operators import geocode, ingest, match, search
+from tarn.operators.components import components
 
 
 def moved(spark, run):
@@ -71,3 +74,19 @@ def test_places_too_many_to_be_sent_are_shuffled(spark, monkeypatch):
     out = geocode.geocoded(spark.range(10).selectExpr("id", "concat('T', id, ', OH') AS location"), places, {"ohio": "OH"})
     assert "BroadcastHashJoin [place" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r["id"]: r["lat"] for r in out.collect()} == {k: float(k) for k in range(10)}
+
+
+def test_near_copies_of_a_headline_are_not_all_paired(spark):
+    head = F.concat(F.lit(" ".join(f"word{k}" for k in range(20)) + " "), F.col("id").cast("string"))
+    news = ingest.news_keys(spark.range(600).select("id", head.alias("headline"), F.lit("").alias("url"), F.lit("2024-01-01").alias("date")))
+    links, rows = moved(spark, lambda: match.news_links(news).collect())
+    assert components(spark.createDataFrame(links)).where("component = 0").count() == 600 and rows < 100_000
+
+
+def test_links_hang_together_as_the_pairs_do(spark):
+    rng = random.Random(7)
+    words = [f"Word{k}" for k in range(14)]
+    news = [(k, " ".join(rng.sample(words, rng.choice((0, 2, 4, 5, 6, 7)))), rng.choice(("", "", "x.org/a", "x.org/b")), f"2024-01-{rng.randrange(1, 28):02d}") for k in range(160)]
+    keyed = ingest.news_keys(spark.createDataFrame(news, "id long, headline string, url string, date string"))
+    pairs = match.news_pairs(keyed)
+    assert sorted(components(match.news_links(keyed)).collect()) == sorted(components(pairs).collect()) and pairs.count() > 40
