@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tarn.operators import geocode, ingest, match, search
+from tarn.operators import geocode, ingest, match, nearest, search
 from tarn.operators.components import components
 
 
@@ -90,3 +90,10 @@ def test_links_hang_together_as_the_pairs_do(spark):
     keyed = ingest.news_keys(spark.createDataFrame(news, "id long, headline string, url string, date string"))
     pairs = match.news_pairs(keyed)
     assert sorted(components(match.news_links(keyed)).collect()) == sorted(components(pairs).collect()) and pairs.count() > 40
+
+
+def test_rows_of_one_place_are_looked_up_once(spark):
+    place = ("30 + (id * 7919 % 40) / 10.0D AS lat", "-90 + (id * 31 % 40) / 10.0D AS lng")
+    facilities, plants = spark.range(20_000).selectExpr("id", *place), spark.range(40).selectExpr("id", *place)
+    out, rows = moved(spark, lambda: nearest.with_nearest(facilities, plants).where("nd = 0 and np = id % 40").count())
+    assert out == 20_000 and rows < 45_000
